@@ -6,11 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docstruct.llm.confusables import section_forms, skeleton_groups
 from docstruct.llm.packing import pack_texts
+from docstruct.llm.sections_io import titles_and_paragraphs
+from docstruct.llm.sentences import section_sentences
+from docstruct.llm.splitting import split_sections
 from docstruct.llm.tokenize import encode_texts
 from docstruct.scale import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    forms = section_forms(table(spark, d, "sections"))
+    return forms.filter("is_changed").select("section_id", "item_no").distinct()
+
+
+def p1_skeleton_groups(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton_groups(titles_and_paragraphs(table(spark, d, "sections")), [], "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_sections(table(spark, d, "sections"), table(spark, d, "size_profiles"))
+    return pieces.filter("piece_no = 1").select("section_id", "item_no").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_sections(table(spark, d, "sections"), table(spark, d, "size_profiles")).distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return section_sentences(table(spark, d, "sections"), "text").select("section_id", "item_no", "end_pos").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -19,9 +45,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), table(spark, d, "size_profiles"))
 
 
+P4_SQL = """
+SELECT DISTINCT section_id, item_no FROM (
+  SELECT section_id, CAST(generate_subscripts(contents, 1) - 1 AS INTEGER) AS item_no, unnest(contents) AS t FROM sections)
+WHERE length(t) > (SELECT capacity FROM size_profiles WHERE profile_name = 'section_split')
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {f.__name__: f for f in (p1_found, p1_skeleton_groups, p4_found, p4_pieces, p5_found, p7_ids, p8_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}
