@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docstruct.llm.confusables import section_forms, skeleton_groups
+from docstruct.llm.garbled import find_garbled
 from docstruct.llm.packing import pack_texts
 from docstruct.llm.sections_io import titles_and_paragraphs
 from docstruct.llm.sentences import section_sentences
@@ -45,6 +46,14 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), table(spark, d, "size_profiles"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents")).select("doc_id", "line_no").distinct()
+
+
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"))
+
+
 P4_SQL = """
 SELECT DISTINCT section_id, item_no FROM (
   SELECT section_id, CAST(generate_subscripts(contents, 1) - 1 AS INTEGER) AS item_no, unnest(contents) AS t FROM sections)
@@ -53,7 +62,7 @@ WHERE length(t) > (SELECT capacity FROM size_profiles WHERE profile_name = 'sect
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_skeleton_groups, p4_found, p4_pieces, p5_found, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p1_skeleton_groups, p4_found, p4_pieces, p5_found, p7_ids, p8_containers, p9_found, p9_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
