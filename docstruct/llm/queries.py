@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstruct.llm.confusables import section_forms, skeleton_groups
 from docstruct.llm.garbled import find_garbled
+from docstruct.llm.near_duplicates import similar_pairs
 from docstruct.llm.packing import pack_texts
 from docstruct.llm.sections_io import titles_and_paragraphs
 from docstruct.llm.sentences import section_sentences
@@ -25,6 +26,10 @@ def p1_skeleton_groups(spark: SparkSession, d: str) -> DataFrame:
     return skeleton_groups(titles_and_paragraphs(table(spark, d, "sections")), [], "text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(spark, d, "bib_entries"), "ref_id", ["raw_text", "title"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_sections(table(spark, d, "sections"), table(spark, d, "size_profiles"))
     return pieces.filter("piece_no = 1").select("section_id", "item_no").distinct()
@@ -62,7 +67,7 @@ WHERE length(t) > (SELECT capacity FROM size_profiles WHERE profile_name = 'sect
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_skeleton_groups, p4_found, p4_pieces, p5_found, p7_ids, p8_containers, p9_found, p9_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_skeleton_groups, p3_found, p4_found, p4_pieces, p5_found, p7_ids, p8_containers, p9_found, p9_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
