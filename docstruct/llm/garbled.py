@@ -106,6 +106,29 @@ def undo(word: str, chain: int) -> str | None:
     return word
 
 
+#: Characters that stand for a first byte of a UTF-8 sequence, and the chains by the encoding undone first.
+_FIRST = {d: frozenset(c for c, b in t.items() if 0xC2 <= b <= 0xF4) for d, t in _BYTES.items()}
+_BY_READ = {d: ([c for c in range(LOST) if CHAINS[c][0] == ("utf_8", d)], [c for c in range(LOST) if CHAINS[c][0][1] == d and CHAINS[c][0][0] != "utf_8"]) for d in READ_AS + READ_AS_WIDE}
+
+
+def _possible(word: str) -> list[int]:
+    """The chains whose undoing can succeed, told from the set of the word's characters."""
+    high = {c for c in word if c > "\x7f"}
+    out: list[int] = []
+    for d, (utf8, others) in _BY_READ.items():
+        table = _BYTES.get(d)
+        if table is None:
+            if max(high) >= "\u2e80":
+                # single bytes read in pairs need letters beside them
+                out += utf8 + [c for c in others if CHAINS[c][0][0] != "cp1252" or word.upper() != word.lower()]
+        else:
+            if not _FIRST[d].isdisjoint(high):
+                out += utf8
+            if others and high <= table.keys():
+                out += others
+    return sorted(out)
+
+
 class CharModel:
     """A smoothed bigram model in two tables of fixed size."""
 
@@ -158,7 +181,7 @@ class Evidence:
         if "�" in w:
             return ((LOST, 60.0),)
         out, base, memo = [], None, {}
-        for c in range(LOST):
+        for c in _possible(w):
             t = undo(w, c)
             if t is None or t == w:
                 continue
@@ -170,11 +193,11 @@ class Evidence:
         return tuple(out)
 
     def line(self, line: str) -> dict[int, float]:
+        """Summed evidence of the chains some word speaks for; words that lose by a chain speak against it."""
         total: dict[int, float] = {}
-        for w in line.split(" "):
-            if not w.isascii():
-                for c, s in self.word(w):
-                    total[c] = total.get(c, 0.0) + s
+        words = [self.word(w) for w in line.split(" ") if not w.isascii()]
+        for c in {c for known in words if known for c, s in known if s > 0}:
+            total[c] = sum(s for known in words for k, s in known if k == c)
         return total
 
     def top(self, line: str) -> tuple[int, float, int, float]:
