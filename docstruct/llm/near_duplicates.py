@@ -29,7 +29,7 @@ from docstruct.scale import cut
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SLOTS = 1 << 20
 #: Rows two of which may be compared in one bucket; larger buckets are parted, then split into blocks.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 8_000
 BLOCK_ROWS = 16_000
 #: Fixed values of the signature filters: how many bits each has.
 _SIGN_BITS, _ORDER_BITS = 63, 31
@@ -178,6 +178,7 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
     # the prefix rows of every set: key of the bucket, identity, size and position, signature, order filters
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _counts_list(shared.value)
+        done: set[int] = set()  # copies are dropped before the shuffle, as far as the task remembers
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
             for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -185,6 +186,11 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
                 if not words:
                     continue
                 sid, n, sign, order, prefix, ranked = _set_rows(kind, words, counts, num, den)
+                if sid in done:
+                    continue
+                if len(done) > 1_000_000:
+                    done.clear()
+                done.add(sid)
                 for pos, (count, h) in enumerate(prefix):
                     for k in _bucket_keys(kind, h, count, order, sid, prefix, ranked, counts):
                         for col, v in zip(out, (k, sid, n << 20 | min(pos, 0xFFFFF), sign, order)):
@@ -192,8 +198,7 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["bucket", "sid", "np", "sign", "filters"])
 
     rows = texts.select("kind", "text").mapInArrow(prefixes, "bucket long, sid long, np long, sign long, filters long")
-    rows = rows.dropDuplicates(["bucket", "sid"])  # copies fall together before the shuffle
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "sid")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -208,6 +213,8 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
             yield emit(held)
 
     def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
+        once = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])] if len(cols[0]) else np.zeros(0, bool)
+        cols = [c[once] for c in cols]
         i, j = _pairs_in_buckets(*cols, num, den) if len(cols[0]) > 1 else (np.zeros(0, int), np.zeros(0, int))
         a, b = np.minimum(cols[1][i], cols[1][j]), np.maximum(cols[1][i], cols[1][j])
         sa, sb = np.where(cols[1][i] == a, cols[3][i], cols[3][j]), np.where(cols[1][i] == a, cols[3][j], cols[3][i])
@@ -276,7 +283,7 @@ def _bucket_keys(kind: int, h: int, count: int, order: int, sid: int, prefix: li
     too many texts the bucket is split into blocks; every pair of blocks meets.
     """
     if count <= BUCKET_ROWS:
-        return [_mix(kind, h)]
+        return [h ^ kind * 0x5DEECE66D]
     p = len(prefix)
     front = ([x for x in ranked if x >> 40 & 1 == 0] + [x for x in ranked if x >> 40 & 1 == 1])[:p]
     out = []
