@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstruct.llm.confusables import section_forms, skeleton_groups
 from docstruct.llm.garbled import find_garbled
+from docstruct.llm.names import linked_names
 from docstruct.llm.near_duplicates import similar_pairs
+from docstruct.llm.ocr import OcrRepair
 from docstruct.llm.packing import pack_texts
 from docstruct.llm.sections_io import titles_and_paragraphs
 from docstruct.llm.sentences import section_sentences
@@ -26,6 +28,14 @@ def p1_skeleton_groups(spark: SparkSession, d: str) -> DataFrame:
     return skeleton_groups(titles_and_paragraphs(table(spark, d, "sections")), [], "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return OcrRepair(table(spark, d, "sections"), table(spark, d, "words")).found()
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return OcrRepair(table(spark, d, "sections"), table(spark, d, "words")).paragraphs().distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(spark, d, "bib_entries"), "ref_id", ["raw_text", "title"])
 
@@ -43,6 +53,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return section_sentences(table(spark, d, "sections"), "text").select("section_id", "item_no", "end_pos").distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_names(table(spark, d, "bib_entries"), "authors", table(spark, d, "given_forms"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -67,7 +81,7 @@ WHERE length(t) > (SELECT capacity FROM size_profiles WHERE profile_name = 'sect
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_skeleton_groups, p3_found, p4_found, p4_pieces, p5_found, p7_ids, p8_containers, p9_found, p9_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_skeleton_groups, p2_found, p2_paragraphs, p3_found, p4_found, p4_pieces, p5_found, p6_found, p7_ids, p8_containers, p9_found, p9_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
