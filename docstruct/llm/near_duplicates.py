@@ -59,27 +59,56 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def _set_rows(kind: int, words: set[str], counts, num: int, den: int):
-    """Identity, size, signature, the order filters and the prefix (keys, in order, and their counts) of a set."""
-    hs = [_hashes[w] for w in words]
-    n = len(hs)
-    sid = kind
-    sign = 0
-    for h in hs:
-        sid += (h * (h | 1)) & 0x7FFFFFFFFFFFFFFF
-        sign ^= 1 << (h % _SIGN_BITS)
-    ranked = sorted((counts[h & (_SLOTS - 1)], h) for h in hs)
-    p = n - (num * n + den - 1) // den + 1  # the longest prefix a partner of any size can ask for
-    filters = []
-    for half in (0, 1):
-        front = [h for _, h in ranked if h >> 40 & 1 == half]
-        if len(front) < p:
-            front += [h for _, h in ranked if h >> 40 & 1 != half][: p - len(front)]
-        bits = 0
-        for h in front[:p]:
-            bits |= 1 << ((h >> 20) % _ORDER_BITS)
-        filters.append(bits)
-    return sid & 0x7FFFFFFFFFFFFFFF, n, sign, filters[0] | filters[1] << 32, ranked[:p], [h for _, h in ranked]
+class Sets:
+    """The word sets of a batch of texts, as flat arrays of word hashes."""
+
+    def __init__(self, kinds: list[int], texts: list[str]):
+        get, flat, sizes = _hashes.__getitem__, [], []
+        for t in texts:
+            before = len(flat)
+            flat.extend(map(get, set(_WORD.findall(t.lower()))))
+            sizes.append(len(flat) - before)
+        self.n = np.array(sizes, np.int64)
+        self.rows = np.flatnonzero(self.n)  # texts without a word are left out
+        self.n = self.n[self.rows]
+        self.kind = np.array(kinds, np.uint64)[self.rows]
+        self.h = np.array(flat, np.uint64)
+        self.start = np.r_[0, np.cumsum(self.n)[:-1]].astype(np.int64) if len(self.n) else np.zeros(0, np.int64)
+        one = np.uint64(1)
+        if len(self.n):
+            self.sid = (np.add.reduceat(self.h * (self.h | one), self.start) + self.kind * np.uint64(0x9E3779B97F4A7C15)) >> one
+            self.sign = np.bitwise_xor.reduceat(one << (self.h % np.uint64(_SIGN_BITS)), self.start)
+        else:
+            self.sid = self.sign = np.zeros(0, np.uint64)
+
+    def slots(self) -> np.ndarray:
+        """The slot of each word in the table of counts; the kinds of text count apart."""
+        kinds = np.repeat(self.kind, self.n) * np.uint64(0x51ED27)
+        return ((self.h ^ kinds) & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+    def prefixes(self, counts: np.ndarray, num: int, den: int):
+        """Words in the order of their rarity, set by set: set index, hash, count, rank; the prefix length of each set; the order filters."""
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        count = counts[self.slots()].astype(np.int64)
+        order = np.argsort(np.minimum(count, (1 << 20) - 1).astype(np.uint64) << np.uint64(44) | self.h >> np.uint64(19), kind="stable")
+        order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+        h, count = self.h[order], count[order]
+        p = self.n - (num * self.n + den - 1) // den + 1  # the longest prefix a partner of any size can ask for
+        rank = np.arange(len(h)) - self.start[owner]
+        filters = np.zeros(len(self.n), np.uint64)
+        fronts = []
+        bit = np.uint64(1) << ((h >> np.uint64(20)) % np.uint64(_ORDER_BITS))
+        for half in (0, 1):
+            mine = (h >> np.uint64(40) & np.uint64(1)) == half
+            seen = np.cumsum(mine)
+            among = seen - 1 - (seen - mine)[self.start][owner]  # rank within the half in front
+            front = np.where(mine, among, 0)
+            total = np.add.reduceat(mine.astype(np.int64), self.start)
+            front = np.where(mine, among, total[owner] + rank - among - 1)  # then the other half
+            take = front < p[owner]
+            filters |= np.bitwise_or.reduceat(np.where(take, bit, np.uint64(0)), self.start) << np.uint64(32 * half)
+            fronts.append(front)
+        return owner, h, count, rank, p, filters, fronts[0]
 
 
 def _pairs_in_buckets(key, sid, np_, sign, order, num: int, den: int):
@@ -89,13 +118,17 @@ def _pairs_in_buckets(key, sid, np_, sign, order, num: int, den: int):
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
 
+    usign = sign.view(np.uint64)
+    short = n.astype(np.int32)
+
     def keep(i, j):
+        # the signatures first: they tell most pairs apart at the least cost
+        ok = np.bitwise_count(usign[i] ^ usign[j]) * np.int32(num + den) <= (short[i] + short[j]) * np.int32(den - num)
+        i, j = i[ok], j[ok]
         need = least_common(n[i] + n[j], num, den)
-        ok = (sid[i] != sid[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
-        i, j, need = i[ok], j[ok], need[ok]
         both = order[i] & order[j]
-        ok = ((both & 0xFFFFFFFF) != 0) & ((both >> 32) != 0)
-        ok &= np.bitwise_count((sign[i] ^ sign[j]).astype(np.uint64)) <= n[i] + n[j] - 2 * need
+        ok = (sid[i] != sid[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
+        ok &= ((both & 0xFFFFFFFF) != 0) & ((both >> 32) != 0)
         return i[ok], j[ok]
 
     out_i, out_j = [], []
@@ -122,20 +155,6 @@ def _pairs_in_buckets(key, sid, np_, sign, order, num: int, den: int):
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _word_counts(texts: DataFrame) -> pd.DataFrame:
-    """How many texts have the words of each slot; at most 2**20 rows whatever the collection."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_SLOTS, np.int64)
-        for batch in batches:
-            slots = [_hashes[w] & (_SLOTS - 1) for t in batch.column(0).to_pylist() for w in words_of(t)]
-            total += np.bincount(np.array(slots, np.int64), minlength=_SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
-
-    return texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-
-
 def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7, den: int = 10) -> DataFrame:
     """Pairs of different keys one of whose ``fields`` is alike by at least num/den: key_a < key_b, each once.
 
@@ -151,51 +170,46 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
     fields_array = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f).alias("text")) for k, f in enumerate(fields)])
     texts = records.select(F.col(key).alias("key"), F.inline(fields_array)).filter(F.length("text") > 0)
 
-    counted = _word_counts(texts.select("text"))
-    table = np.zeros(_SLOTS, np.int64)
-    table[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-
-    # every text as a member of its set
-    member_schema = T.StructType([T.StructField("key", key_type), T.StructField("sid", T.LongType()), T.StructField("sign", T.LongType())])
+    # one reading gives every text as a member of its set, and how many sets of a kind have the words of each slot
+    fields_read = [T.StructField("key", key_type), T.StructField("sid", T.LongType()), T.StructField("sign", T.LongType()), T.StructField("is_count", T.BooleanType())]
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SLOTS, np.int64)
+        names = [f.name for f in fields_read]
+        kind = None
         for batch in batches:
-            rows, sids, signs = [], [], []
-            for i, (kind, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                s, g = kind, 0
-                words = words_of(text)
-                for w in words:
-                    h = _hashes[w]
-                    s += (h * (h | 1)) & 0x7FFFFFFFFFFFFFFF
-                    g ^= 1 << (h % _SIGN_BITS)
-                if words:
-                    rows.append(i)
-                    sids.append(s & 0x7FFFFFFFFFFFFFFF)
-                    signs.append(g)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sids, pa.int64()), pa.array(signs, pa.int64())], names=member_schema.names)
+            sets = Sets(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            kind = batch.column(0).type
+            total += np.bincount(sets.slots(), minlength=_SLOTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sets.rows)), pa.array(sets.sid.view(np.int64)), pa.array(sets.sign.view(np.int64)), pa.array(np.zeros(len(sets.n), bool))], names=names)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(at), pa.array(total[at]), pa.array(np.ones(len(at), bool))], names=names)
+
+    first = cut(texts.mapInArrow(read, T.StructType(fields_read)))
+    # at most 2**20 rows, whatever the collection
+    counted = first.filter("is_count").groupBy("sid").agg(F.sum("sign").alias("n")).toPandas()
+    table = np.zeros(_SLOTS, np.int32)
+    table[counted["sid"].to_numpy()] = np.minimum(counted["n"].to_numpy(), (1 << 31) - 1)
+    shared = spark.sparkContext.broadcast(table)
+    member = first.filter("not is_count").select("key", "sid", "sign").distinct()
 
     # the prefix rows of every set: key of the bucket, identity, size and position, signature, order filters
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counts_list(shared.value)
+        counts = shared.value
         done: set[int] = set()  # copies are dropped before the shuffle, as far as the task remembers
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if not words:
-                    continue
-                sid, n, sign, order, prefix, ranked = _set_rows(kind, words, counts, num, den)
-                if sid in done:
-                    continue
+            kinds, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(kinds), 8_000):
+                sets = Sets(kinds[at : at + 8_000], all_texts[at : at + 8_000])
                 if len(done) > 1_000_000:
                     done.clear()
-                done.add(sid)
-                for pos, (count, h) in enumerate(prefix):
-                    for k in _bucket_keys(kind, h, count, order, sid, prefix, ranked, counts):
-                        for col, v in zip(out, (k, sid, n << 20 | min(pos, 0xFFFFF), sign, order)):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["bucket", "sid", "np", "sign", "filters"])
+                fresh = np.zeros(len(sets.n), bool)
+                for k, s in enumerate(sets.sid.tolist()):
+                    if s not in done:
+                        done.add(s)
+                        fresh[k] = True
+                yield _prefix_rows(sets, fresh, counts, num, den)
 
     rows = texts.select("kind", "text").mapInArrow(prefixes, "bucket long, sid long, np long, sign long, filters long")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "sid")
@@ -224,7 +238,6 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
     pairs = rows.mapInArrow(join, "sid_a long, sign_a long, sid_b long, sign_b long").distinct()
 
     # verification on the words themselves, one text for each set
-    member = texts.mapInArrow(members, member_schema).distinct()
     reps = member.groupBy("sid", "sign").agg(F.min("key").alias("rep"), F.count("*").alias("n_members"))
     a = reps.select(F.col("sid").alias("sid_a"), F.col("sign").alias("sign_a"), F.col("rep").alias("rep_a"))
     b = reps.select(F.col("sid").alias("sid_b"), F.col("sign").alias("sign_b"), F.col("rep").alias("rep_b"))
@@ -258,16 +271,6 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
     return every.distinct().select(F.col("key_a").alias(f"{key}_a"), F.col("key_b").alias(f"{key}_b"))
 
 
-_lists: dict[int, list] = {}
-
-
-def _counts_list(table: np.ndarray) -> list:
-    if id(table) not in _lists:
-        _lists.clear()
-        _lists[id(table)] = table.tolist()
-    return _lists[id(table)]
-
-
 def _mix(*parts: int) -> int:
     x = 0x9E3779B97F4A7C15
     for p in parts:
@@ -275,24 +278,40 @@ def _mix(*parts: int) -> int:
     return (x ^ x >> 31) & 0x7FFFFFFFFFFFFFFF
 
 
-def _bucket_keys(kind: int, h: int, count: int, order: int, sid: int, prefix: list, ranked: list, counts) -> list[int]:
-    """The buckets of a prefix word: its own, or, if many texts have the word, one with each prefix word of a second order.
+def _prefix_rows(sets: Sets, fresh: np.ndarray, counts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+    """A row for each bucket of each fresh set.
 
-    The second order is rarity with the front half first; a pair alike shares a
-    prefix word there too, so it meets in one of them. If even that word is in
-    too many texts the bucket is split into blocks; every pair of blocks meets.
+    The bucket of a prefix word is its own, or, if many texts have the word, one
+    with each prefix word of a second order: a pair alike shares a prefix word
+    there too, so it meets in one of them. If even that word is in too many texts
+    the bucket is split into blocks; every pair of blocks meets.
     """
-    if count <= BUCKET_ROWS:
-        return [h ^ kind * 0x5DEECE66D]
-    p = len(prefix)
-    front = ([x for x in ranked if x >> 40 & 1 == 0] + [x for x in ranked if x >> 40 & 1 == 1])[:p]
-    out = []
-    for g in front:
-        most = min(count, counts[g & (_SLOTS - 1)])
-        blocks = -(-most // BLOCK_ROWS)
-        if blocks <= 1:
-            out.append(_mix(kind, h, g))
-        else:
-            own = sid % blocks
-            out += [_mix(kind, h, g, min(own, other), max(own, other)) for other in range(blocks)]
-    return out
+    names = ["bucket", "sid", "np", "sign", "filters"]
+    if not len(sets.n):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=names)
+    owner, h, count, rank, p, filters, front = sets.prefixes(counts, num, den)
+    own_kind = sets.kind * np.uint64(0x5DEECE66D1234567)
+    # a word of one text only brings it nowhere
+    prefix = (rank < p[owner]) & fresh[owner] & (count > 1)
+    one = np.flatnonzero(prefix & (count <= BUCKET_ROWS))
+    key = ((h[one] ^ own_kind[owner[one]]) >> np.uint64(1)).view(np.int64)
+    who, place = owner[one], rank[one]
+    many = np.flatnonzero(prefix & (count > BUCKET_ROWS))
+    if len(many):
+        keys, whos, places = [], [], []
+        ends = np.r_[sets.start[1:], len(h)]
+        for r in many.tolist():
+            k = int(owner[r])
+            second = np.arange(sets.start[k], ends[k])[front[sets.start[k] : ends[k]] < p[k]]
+            for g in second.tolist():
+                blocks = -(-int(min(count[r], count[g])) // BLOCK_ROWS)
+                own = int(sets.sid[k]) % blocks if blocks else 0
+                for other in range(max(1, blocks)):
+                    keys.append(_mix(int(sets.kind[k]), int(h[r]), int(h[g]), *((min(own, other), max(own, other)) if blocks > 1 else ())))
+                    whos.append(k)
+                    places.append(int(rank[r]))
+        key = np.concatenate([key, np.array(keys, np.int64)])
+        who, place = np.concatenate([who, np.array(whos, np.int64)]), np.concatenate([place, np.array(places, np.int64)])
+    size = sets.n[who] << 20 | np.minimum(place, 0xFFFFF)
+    cols = [key, sets.sid[who].view(np.int64), size, sets.sign[who].view(np.int64), filters[who].view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
