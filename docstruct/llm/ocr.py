@@ -10,6 +10,7 @@ the corpus lacks and gains by undoing characters a scanner confuses.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -41,10 +42,14 @@ CONFUSED = {
     "j": "i", "s": "5", "z": "2", "x": "k", "k": "x", "nn": "rm", "tl": "d",
 }
 _SWAPS = [(k, v.split()) for k, v in CONFUSED.items()]
+_BY_FIRST: dict[str, list[tuple[str, list[str]]]] = {}
+for _bad, _goods in _SWAPS:
+    _BY_FIRST.setdefault(_bad[0], []).append((_bad, _goods))
 _NUMBER = regex.compile(r"(?i)[\W_]*(?:page\s+|p\.\s*|seite\s+|pag\.?\s+)?[\dOlISB]{1,4}(?:\s*(?:of|/|von|de)\s*[\dOlISB]{1,4})?[^\w.,;:]*")
 _HAS_DIGIT = regex.compile(r"\d|^[\W_]*[OlI]{1,3}[\W_]*$|(?i:^page)")
 _TOKEN = regex.compile(r"[^\W_](?:[\p{L}\p{M}\p{N}@$|!€¢'’-]*[\p{L}\p{M}\p{N}@$|!€¢])?")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:[-'’]\p{L}[\p{L}\p{M}]*)*")
+_HALF = regex.compile(r"[\p{L}\p{M}\p{N}@$|!'’-]*\Z")
 _HEADLINE = regex.compile(r"[^.!?]*[^.!?,;-]")
 
 
@@ -60,6 +65,7 @@ class Lexicon:
 
     def __init__(self, words: dict[str, int]):
         self.words = words
+        self.order = sorted(words)
         self.heads = {w.split("-", 1)[0] for w in words if "-" in w}
         self._misread: dict[str, tuple[str, int] | None] = {}
 
@@ -80,18 +86,7 @@ class Lexicon:
             t = "".join("l" if c == "I" and k else c.lower() for k, c in enumerate(token))
             if t in self.words and "I" in token[1:]:
                 return t, token.index("I", 1)
-        best, at = None, 0
-        once = list(_undone(t))
-        for c, k in once:
-            n = self.words.get(c, 0)
-            if n > (self.words.get(best, 0) if best else 0):
-                best, at = c, k
-        if best is None and len(t) > 5:
-            for c1, k1 in once:
-                for c, k in _undone(c1):
-                    n = self.words.get(c, 0)
-                    if n > (self.words.get(best, 0) if best else 0):
-                        best, at = c, min(k1, k)
+        best, at = self._nearest(t, 2 if len(t) > 5 else 1)
         if best is None and "-" in t:
             at = 0
             for part in token.split("-"):
@@ -101,6 +96,29 @@ class Lexicon:
                 at += len(part) + 1
         return (best, at) if best else None
 
+    def _nearest(self, t: str, most: int) -> tuple[str | None, int]:
+        """The word of fewest undone confusions, of these the most usual, and the first place; only beginnings of words are followed."""
+        words, order, n = self.words, self.order, len(t)
+        best: tuple[int, int, str, int] | None = None
+        stack = [(0, "", 0, n)]
+        while stack:
+            k, head, slips, place = stack.pop()
+            if k == n:
+                if slips and head in words:
+                    found = (slips, -words[head], head, place)
+                    if best is None or found < best:
+                        best = found
+                continue
+            follow = [(t[k], 1, slips)]
+            if slips < most and (best is None or slips < best[0]):
+                follow += [(g, len(bad), slips + 1) for bad, goods in _BY_FIRST.get(t[k], ()) if t.startswith(bad, k) for g in goods]
+            for piece, used, s in follow:
+                longer = head + piece
+                at = bisect.bisect_left(order, longer)
+                if at < len(order) and order[at].startswith(longer):
+                    stack.append((k + used, longer, s, place if s == slips else min(place, k)))
+        return (best[2], best[3]) if best else (None, 0)
+
     def is_cut(self, half: str, rest: str | None) -> bool:
         """Whether the hyphen after ``half`` only cuts the word that goes on with ``rest`` (None: not known)."""
         a = half.lower()
@@ -208,7 +226,7 @@ def line_end(line: str, following: list[str], lexicon: Lexicon) -> int:
     t = line.rstrip()
     if len(t) < 2 or t[-1] not in "-‐­¬" or not t[-2].isalnum():
         return 0
-    half = regex.search(r"[\p{L}\p{M}\p{N}@$|!'’-]*\Z", t[:-1]).group()
+    half = _HALF.search(t[:-1]).group()
     rest = None
     for f in following:
         if f.strip() and line_shape(f, False) in (2, 4):
@@ -264,18 +282,29 @@ def build_lexicon(sections: DataFrame) -> dict[str, int]:
 
 
 def _recurring(sections: DataFrame) -> DataFrame:
-    """section_id, lines (item_no, line_no): short lines that recur within their paper; only short lines are shuffled."""
-    key = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("line"), r"^[^\p{L}]+|[^\p{L}]+$", ""), "rn", "m"), "cl", "d"), "ri", "n"), r"\s+", " "), "1l|!05@ceqfa", "iiiiosaoogto")
+    """section_id, lines (item_no, line_no): short lines that recur within their paper between different lines.
+
+    Only short lines are shuffled. A line of a paragraph that is itself repeated
+    stands between the same lines each time and is not taken for a header.
+    """
+
+    def plain(c):
+        t = F.regexp_replace(F.lower(c), r"^[^\p{L}]+|[^\p{L}]+$", "")
+        for k, v in (("rn", "m"), ("cl", "d"), ("ri", "n"), (r"\s+", " ")):
+            t = F.regexp_replace(t, k, v)
+        return F.translate(t, "1l|!05@ceqfa", "iiiiosaoogto")
+
+    all_lines = F.split("text", "\n")
+    short = lambda x: (F.length(x) <= 80) & x.rlike(r"\p{L}{3}") & ~x.rlike(r"(?:\S+\s+){9}\S")
+    placed = F.transform(all_lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.get(all_lines, i - 1).alias("before"), F.get(all_lines, i + 1).alias("after")))
     lines = (
         sections.select("paper_id", "section_id", F.posexplode("contents").alias("item_no", "text"))
         .filter(F.col("text").contains("\n"))
-        .select("paper_id", "section_id", "item_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .filter((F.length("line") <= 80) & (F.size(F.split(F.trim("line"), r"\s+")) <= 9) & F.col("line").rlike(r"\p{L}{3}"))
-        .select("paper_id", "section_id", "item_no", "line_no", key.alias("k"))
+        .select("paper_id", "section_id", "item_no", F.inline(F.filter(placed, lambda s: short(s["line"]))))
+        .select("paper_id", "section_id", "item_no", "line_no", plain(F.col("line")).alias("k"), F.xxhash64(plain(F.col("before")), plain(F.col("after"))).alias("between"))
         .filter(F.length("k") >= 8)
-        .distinct()
     )
-    often = lines.groupBy("paper_id", "k").agg(F.count("*").alias("n")).filter("n > 1").select("paper_id", "k")
+    often = lines.select("paper_id", "k", "between").distinct().groupBy("paper_id", "k").agg(F.count("*").alias("n")).filter("n > 1").select("paper_id", "k")
     return lines.join(often, ["paper_id", "k"]).groupBy("section_id").agg(F.collect_set(F.struct("item_no", "line_no")).alias("lines"))
 
 
@@ -337,6 +366,36 @@ def _page_lines(page: list[tuple], lexicon: Lexicon):
     return lines, texts, observe(texts, set(), layouts, lexicon)
 
 
+LINE_ROWS = "paper_id long, page_number int, shape array<int>, layout array<int>, end array<int>, words array<array<struct<id:long,text:string>>>"
+
+
+def _observed_pages(words: DataFrame, lexicon) -> DataFrame:
+    """A row for each page: the observations of its lines and their words that are not blank."""
+    word = pa.struct([("id", pa.int64()), ("text", pa.string())])
+    kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.list_(word))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = _lexicon(lexicon)
+        names = [f.split()[0] for f in LINE_ROWS.split(", ")]
+        rows: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=names)
+        for page in _pages(batches):
+            lines, _, seen = _page_lines(page, lex)
+            kept = [[{"id": r[5], "text": r[6].strip()} for r in ln if r[6] and r[6].strip()] for ln in lines]
+            rows.append((*page[0][:2], [o[0] for o in seen], [o[1] for o in seen], [o[2] for o in seen], kept))
+            if len(rows) >= 64:
+                yield pack()
+                rows = []
+        yield pack()
+
+    return cut(_word_pages(words).mapInArrow(run, LINE_ROWS))
+
+
+def _observations(batch: pa.RecordBatch, first: int = 0) -> Iterator[list[tuple[int, int, int]]]:
+    for shapes, layouts, ends in zip(*(batch.column(first + k).to_pylist() for k in range(3))):
+        yield list(zip(shapes, layouts, ends))
+
+
 def _train(contents: DataFrame, pages: DataFrame, lexicon) -> np.ndarray:
     """One round of Viterbi training over all lines; a table of fixed size comes back."""
 
@@ -352,10 +411,9 @@ def _train(contents: DataFrame, pages: DataFrame, lexicon) -> np.ndarray:
         yield total(seen for batch in batches for *_, seen in _paragraph_lines(batch, lex))
 
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _lexicon(lexicon)
-        yield total(_page_lines(page, lex)[2] for page in _pages(batches))
+        yield total(seen for batch in batches for seen in _observations(batch))
 
-    both = contents.mapInArrow(of_contents, "at int, n double").unionByName(pages.mapInArrow(of_pages, "at int, n double"))
+    both = contents.mapInArrow(of_contents, "at int, n double").unionByName(pages.select("shape", "layout", "end").mapInArrow(of_pages, "at int, n double"))
     rows = both.groupBy("at").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(LineModel().size)
     for r in rows:
@@ -393,7 +451,7 @@ class OcrRepair:
         spark = sections.sparkSession
         self.lexicon = spark.sparkContext.broadcast(build_lexicon(sections))
         self.contents = cut(_content_rows(sections))
-        self.pages = _word_pages(words)
+        self.pages = _observed_pages(words, self.lexicon)
         self.counts = _train(self.contents, self.pages, self.lexicon)
 
     def content_noise(self) -> DataFrame:
@@ -446,41 +504,15 @@ class OcrRepair:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lex, model = _lexicon(shared), LineModel(counts)
             out: list[tuple[int, str]] = []
-            for page in _pages(batches):
-                lines, _, seen = _page_lines(page, lex)
-                states = model.label(seen)
-                pending: tuple | None = None  # the first half of a cut word
-                for ln, s, o in zip(lines, states, seen):
-                    if s in (HEADER, NUMBER):
-                        out += [(r[5], "furniture") for r in ln if r[6] and r[6].strip()]
-                        continue
-                    rows = [r for r in ln if r[6] and r[6].strip()]
-                    if o[1] == 3 or not rows:
-                        continue
-                    for k, r in enumerate(rows):
-                        t = r[6].strip()
-                        if k == 0 and pending is not None:
-                            m = _TOKEN.match(t)
-                            half = pending[1]
-                            if m:
-                                hit = lex.misread(half + m.group())
-                                if hit:
-                                    out.append((pending[0] if hit[1] < len(half) else r[5], "misread"))
-                            pending = None
-                            continue
-                        if k == len(rows) - 1 and s == BREAK:
-                            out.append((r[5], "break"))
-                            m = regex.search(r"[\p{L}\p{M}\p{N}@$|!'’-]*\Z", t[:-1])
-                            pending = (r[5], m.group())
-                            continue
-                        if t.lower() not in lex.words and _running_misreads(t, lex):
-                            out.append((r[5], "misread"))
-                if len(out) > 20_000:
-                    yield _noise(out)
-                    out = []
+            for batch in batches:
+                for seen, lines in zip(_observations(batch), batch.column(3).to_pylist()):
+                    out += _page_noise(lines, seen, model.label(seen), lex)
+                    if len(out) > 20_000:
+                        yield _noise(out)
+                        out = []
             yield _noise(out)
 
-        return self.pages.mapInArrow(run, "row_id long, item_no int, noise_kind string")
+        return self.pages.select("shape", "layout", "end", "words").mapInArrow(run, "row_id long, item_no int, noise_kind string")
 
     def found(self) -> DataFrame:
         """field_name, row_id, item_no, noise_kind of both tables, each once."""
@@ -489,6 +521,35 @@ class OcrRepair:
         return c.unionByName(w).distinct()
 
 
+def _page_noise(lines: list[list[dict]], seen: list, states: list[int], lex: Lexicon) -> list[tuple[int, str]]:
+    """word_id and noise kind of the words of a page."""
+    out: list[tuple[int, str]] = []
+    usual = lex.words
+    pending: tuple | None = None  # the first half of a cut word
+    for rows, s, o in zip(lines, states, seen):
+        if s in (HEADER, NUMBER):
+            out += [(r["id"], "furniture") for r in rows]
+            continue
+        if o[1] == 3 or not rows:  # a title
+            continue
+        for k, r in enumerate(rows):
+            t = r["text"]
+            if k == 0 and pending is not None:
+                m = _TOKEN.match(t)
+                half = pending[1]
+                if m and (half + m.group()).lower() not in usual and (hit := lex.misread(half + m.group())):
+                    out.append((pending[0] if hit[1] < len(half) else r["id"], "misread"))
+                pending = None
+            elif k == len(rows) - 1 and s == BREAK:
+                out.append((r["id"], "break"))
+                pending = (r["id"], _HALF.search(t[:-1]).group())
+            else:
+                low = t.lower()
+                if low not in usual and (low[-1].isalnum() or low[:-1] not in usual) and _running_misreads(t, lex):
+                    out.append((r["id"], "misread"))
+    return out
+
+
 def _noise(out: list[tuple[int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([k for _, k in out], pa.string())], names=["row_id", "item_no", "noise_kind"])
 
