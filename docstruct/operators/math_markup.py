@@ -109,6 +109,8 @@ def best_alignment(needle: str | None, hay: str | None) -> tuple[int, int] | Non
         prev[k] = pos.get(g, -1)
         pos[g] = k
         shared[k] = g in grams
+    if m > 2 and len(set(hay[k : k + 3] for k in np.flatnonzero(shared))) < LEAST_ALIKE * len(grams) and low > 2:
+        return None  # not even all shared trigrams together would do
     for size in range(low, high + 1):
         if size < 3:
             for k in range(m - size + 1):
@@ -122,13 +124,9 @@ def best_alignment(needle: str | None, hay: str | None) -> tuple[int, int] | Non
         p = np.arange(m - 2)
         first, last = np.maximum(prev + 1, p - span + 1).clip(0), np.minimum(p, starts - 1)
         ok = first <= last
-        total = np.zeros(starts + 1, np.int64)
-        common = np.zeros(starts + 1, np.int64)
-        np.add.at(total, first[ok], 1)
-        np.add.at(total, last[ok] + 1, -1)
-        ok &= shared
-        np.add.at(common, first[ok], 1)
-        np.add.at(common, last[ok] + 1, -1)
+        both = ok & shared
+        total = np.bincount(first[ok], minlength=starts + 1) - np.bincount(last[ok] + 1, minlength=starts + 1)
+        common = np.bincount(first[both], minlength=starts + 1) - np.bincount(last[both] + 1, minlength=starts + 1)
         c = np.cumsum(common)[:starts]
         s = c / (len(grams) + np.cumsum(total)[:starts] - c)
         k = int(np.argmax(s))
@@ -151,6 +149,15 @@ def aligned(needle: Column, hay: Column) -> Column:
     return _align_udf(needle, hay)
 
 
+#: Density from which a page is worth a reading by an outside model.
+DENSE = 0.3
+
+
+def dense_pages(page_rows: DataFrame, least: float = DENSE) -> DataFrame:
+    """Pages whose text is dense with mathematics; only these go to a provider."""
+    return page_rows.filter(X.math_density(F.col("text")) >= least)
+
+
 def align_paragraphs(texts: DataFrame, block_rows: DataFrame) -> DataFrame:
     """For each block the paragraph of its page's text most like it, else its own markup if that changes it.
 

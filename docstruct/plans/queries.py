@@ -11,7 +11,7 @@ from docstruct.functions import geometry as G
 from docstruct.functions import text as X
 from docstruct.operators import fonts, layout, math_markup, references, sections
 from docstruct.plans.corpus import Corpus, font_frames
-from docstruct.scale import table
+from docstruct.scale import spread, table
 from docstruct.sinks import export
 from docstruct.sources import formats
 from docstruct.streaming.paragraphs import paragraph_rows
@@ -215,7 +215,7 @@ def trigram_jaccard(spark, d):
 
 @query()
 def best_alignment(spark, d):
-    b = table(spark, d, "bib_entries").select("ref_id", "title", "raw_text").dropna().distinct()
+    b = spread(table(spark, d, "bib_entries").select("ref_id", "title", "raw_text").dropna()).distinct()
     return b.select("ref_id", math_markup.aligned(F.col("title"), F.col("raw_text")).alias("s")).select("ref_id", "s.start", "s.end")
 
 
@@ -341,6 +341,13 @@ def ruling_tables(spark, d):
     return layout.ruling_tables(seg)
 
 
+@query(f"WITH {BLOCKS}, pt AS (SELECT paper_id, page_number, string_agg(text || chr(10) || chr(10), '' ORDER BY block_idx) AS paragraph FROM bk GROUP BY ALL) SELECT paper_id, page_number, round(least({_DENSITY}, 1.0), 6) AS density, least({_DENSITY}, 1.0) >= 0.002 AS is_dense FROM pt")
+def page_density(spark, d):
+    t = layout.page_text(layout.blocks(_lines(spark, d)))
+    dense = math_markup.dense_pages(t, 0.002).select("paper_id", "page_number", F.lit(True).alias("is_dense"))
+    return t.join(dense, ["paper_id", "page_number"], "left").select("paper_id", "page_number", F.round(X.math_density(F.col("text")), 6).alias("density"), F.coalesce("is_dense", F.lit(False)).alias("is_dense"))
+
+
 # fonts -----------------------------------------------------------------------------------------------------------
 @query(f"WITH {USAGE} SELECT * FROM us")
 def font_usage(spark, d):

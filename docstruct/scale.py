@@ -63,6 +63,19 @@ def _remove_written() -> None:
             return
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on as many partitions as there are cores, if it reads files in less than half as many.
+
+    For steps that are long per row: a small table in one file would otherwise be
+    one task. A plan with an exchange of its own is left as it is.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Join ", "Aggregate ", "Repartition", "Sort ", "Window ", "Distinct")):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def config_rows(df: DataFrame, most: int = MAX_CONFIG_ROWS) -> list:
     """All rows of a table that does not grow; raises if it has more than ``most`` rows."""
     rows = df.limit(most + 1).collect()

@@ -65,6 +65,11 @@ def typed(c: Column, kind: str, required: bool = True) -> Column:
     return F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"no valid {kind}: "), F.coalesce(c, F.lit("missing"))))).otherwise(value) if required else value
 
 
+def whole_points(c: Column) -> Column:
+    """A page measure as an integer; null if it has a fraction."""
+    return c.try_cast("int")
+
+
 _TAG = re.compile(r"<(/?)(page|block|line|word)\b([^>]*?)(/?)>", re.I)
 _ATTR = re.compile(r"([\w-]+)\s*=\s*[\"']([^\"']*)[\"']")
 WORD_ROWS = "path string, page_number int, page_width double, page_height double, block_idx int, line_idx int, word_idx int, text string, x double, y double, width double, height double"
