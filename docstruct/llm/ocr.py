@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstruct.scale import cut
@@ -68,6 +68,7 @@ class Lexicon:
         self.order = sorted(words)
         self.heads = {w.split("-", 1)[0] for w in words if "-" in w}
         self._misread: dict[str, tuple[str, int] | None] = {}
+        self._pieces: dict[str, bool] = {}
 
     def misread(self, token: str) -> tuple[str, int] | None:
         """The word a token was misread from, and where; None if it is usual or nothing is near."""
@@ -78,6 +79,15 @@ class Lexicon:
         found = self._misread[token] = self._find(token)
         return found
 
+    def has_misread(self, text: str) -> bool:
+        """Whether a piece of text between blanks has a misread word."""
+        known = self._pieces.get(text)
+        if known is None:
+            if len(self._pieces) > 300_000:
+                self._pieces.clear()
+            known = self._pieces[text] = bool(_running_misreads(text, self))
+        return known
+
     def _find(self, token: str) -> tuple[str, int] | None:
         t = token.lower()
         if len(t) < 3 or t in self.words or t.strip("'’") in self.words:
@@ -295,17 +305,21 @@ def _recurring(sections: DataFrame) -> DataFrame:
         return F.translate(t, "1l|!05@ceqfa", "iiiiosaoogto")
 
     all_lines = F.split("text", "\n")
-    short = lambda x: (F.length(x) <= 80) & x.rlike(r"\p{L}{3}") & ~x.rlike(r"(?:\S+\s+){9}\S")
-    placed = F.transform(all_lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.get(all_lines, i - 1).alias("before"), F.get(all_lines, i + 1).alias("after")))
+    # a header begins with a capital, or a letter of a script without case
+    short = lambda x: (F.length(x) <= 80) & x.rlike(r"^[^\p{L}]*[\p{Lu}\p{Lt}\p{Lo}]") & ~x.rlike(r"[-.,;:]\s*$") & x.rlike(r"\p{L}{3}") & ~x.rlike(r"(?:\S+\s+){9}\S")
+    near = lambda i: F.translate(F.lower(F.get(all_lines, i)), "0123456789", "")
+    placed = F.transform(all_lines, lambda x, i: F.when(short(x), F.struct(i.alias("line_no"), x.alias("line"), F.xxhash64(near(i - 1), near(i + 1)).alias("between"))))
+    same = Window.partitionBy("paper_id", "k")
     lines = (
         sections.select("paper_id", "section_id", F.posexplode("contents").alias("item_no", "text"))
         .filter(F.col("text").contains("\n"))
-        .select("paper_id", "section_id", "item_no", F.inline(F.filter(placed, lambda s: short(s["line"]))))
-        .select("paper_id", "section_id", "item_no", "line_no", plain(F.col("line")).alias("k"), F.xxhash64(plain(F.col("before")), plain(F.col("after"))).alias("between"))
+        .select("paper_id", "section_id", "item_no", F.inline(F.filter(placed, lambda s: s.isNotNull())))
+        .select("paper_id", "section_id", "item_no", "line_no", plain(F.col("line")).alias("k"), "between")
         .filter(F.length("k") >= 8)
+        .withColumns({"least": F.min("between").over(same), "most": F.max("between").over(same)})
+        .filter("least <> most")
     )
-    often = lines.select("paper_id", "k", "between").distinct().groupBy("paper_id", "k").agg(F.count("*").alias("n")).filter("n > 1").select("paper_id", "k")
-    return lines.join(often, ["paper_id", "k"]).groupBy("section_id").agg(F.collect_set(F.struct("item_no", "line_no")).alias("lines"))
+    return lines.groupBy("section_id").agg(F.collect_set(F.struct("item_no", "line_no")).alias("lines"))
 
 
 def _content_rows(sections: DataFrame) -> DataFrame:
@@ -331,58 +345,72 @@ def _word_pages(words: DataFrame) -> DataFrame:
     return words.select(*cols).repartition("paper_id", "page_number").sortWithinPartitions("paper_id", "page_number", "block_idx", "line_idx", "word_idx", "word_id")
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Pages as lists of rows, whole even where a batch ends inside one."""
-    page: list[tuple] = []
+def _page_lines(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple]:
+    """paper, page, observations, word ids and word texts by line of every page, whole even where a batch ends inside one.
+
+    Words that are blank do not count; a row repeated as it is comes once. A line
+    is told by its height against the page's median and by its place at an edge.
+    """
+    held: list | None = None
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-            if page and row[:2] != page[-1][:2]:
-                yield page
-                page = []
-            if not page or row[5] != page[-1][5]:
-                page.append(row)
-    if page:
-        yield page
-
-
-def _page_lines(page: list[tuple], lexicon: Lexicon):
-    """The lines of a page (lists of rows) and their observations, told by their height and place."""
-    lines: list[list[tuple]] = []
-    for row in page:
-        if lines and lines[-1][-1][2:4] == row[2:4]:
-            lines[-1].append(row)
-        else:
-            lines.append([row])
-    texts = [" ".join((r[6] or "").strip() for r in ln).strip() for ln in lines]
-    heights = sorted(r[8] for r in page if r[8] is not None)
-    usual = heights[len(heights) // 2] if heights else 0.0
-    tops = [min((r[7] for r in ln if r[7] is not None), default=0.0) for ln in lines]
-    high, low = min(tops), max(tops)
-    layouts = []
-    for k, (ln, top) in enumerate(zip(lines, tops)):
-        h = max((r[8] for r in ln if r[8] is not None), default=usual)
-        edge = top == high or top == low or k in (0, len(lines) - 1)
-        layouts.append(3 if h > 1.15 * usual else 1 if h < 0.9 * usual and edge else 2)
-    return lines, texts, observe(texts, set(), layouts, lexicon)
-
-
-LINE_ROWS = "paper_id long, page_number int, shape array<int>, layout array<int>, end array<int>, words array<array<struct<id:long,text:string>>>"
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [np.array(batch.column(6).to_pylist(), object)] + [batch.column(k).to_numpy(zero_copy_only=False) for k in (7, 8)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        n = len(cols[0])
+        last = n - 1  # where the last page begins: it may go on in the next batch
+        while last and cols[0][last - 1] == cols[0][n - 1] and cols[1][last - 1] == cols[1][n - 1]:
+            last -= 1
+        held = [c[last:] for c in cols]
+        yield from _cut_pages([c[:last] for c in cols], lexicon)
+    if held is not None:
+        yield from _cut_pages(held, lexicon)
+
+
+def _cut_pages(cols: list[np.ndarray], lexicon: Lexicon) -> Iterator[tuple]:
+    n = len(cols[0])
+    if not n:
+        return
+    once = np.r_[True, cols[5][1:] != cols[5][:-1]]
+    paper, page, block, line, _, word_id, text, y, height = (c[once] for c in cols)
+    n = len(paper)
+    new_page = np.r_[True, (paper[1:] != paper[:-1]) | (page[1:] != page[:-1])]
+    new_line = new_page | np.r_[True, (block[1:] != block[:-1]) | (line[1:] != line[:-1])]
+    starts = np.flatnonzero(new_line)
+    top = np.fmin.reduceat(y.astype(float), starts)
+    tall = np.fmax.reduceat(height.astype(float), starts)
+    texts = [t.strip() if t else "" for t in text]
+    ids = word_id.tolist()
+    bounds = [*starts.tolist(), n]
+    first_line = np.flatnonzero(new_page[starts]).tolist() + [len(starts)]
+    for a, b in zip(first_line, first_line[1:]):
+        lo, hi = bounds[a], bounds[b]
+        own_top, own_tall = np.nan_to_num(top[a:b]), tall[a:b]
+        usual = float(np.nanmedian(height[lo:hi].astype(float))) if np.isfinite(height[lo:hi].astype(float)).any() else 0.0
+        own_tall = np.where(np.isnan(own_tall), usual, own_tall)
+        edge = (own_top == own_top.min()) | (own_top == own_top.max())
+        edge[0] = edge[-1] = True
+        layouts = np.where(own_tall > 1.15 * usual, 3, np.where((own_tall < 0.9 * usual) & edge, 1, 2)).tolist()
+        kept = [[k for k in range(bounds[m], bounds[m + 1]) if texts[k]] for m in range(a, b)]
+        lines = [" ".join([texts[k] for k in ks]) for ks in kept]
+        yield paper[lo], page[lo], observe(lines, set(), layouts, lexicon), [[ids[k] for k in ks] for ks in kept], [[texts[k] for k in ks] for ks in kept]
+
+
+LINE_ROWS = "paper_id long, page_number int, shape array<int>, layout array<int>, end array<int>, ids array<array<long>>, texts array<array<string>>"
 
 
 def _observed_pages(words: DataFrame, lexicon) -> DataFrame:
     """A row for each page: the observations of its lines and their words that are not blank."""
-    word = pa.struct([("id", pa.int64()), ("text", pa.string())])
-    kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.list_(word))]
+    kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.string()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = _lexicon(lexicon)
         names = [f.split()[0] for f in LINE_ROWS.split(", ")]
         rows: list[tuple] = []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=names)
-        for page in _pages(batches):
-            lines, _, seen = _page_lines(page, lex)
-            kept = [[{"id": r[5], "text": r[6].strip()} for r in ln if r[6] and r[6].strip()] for ln in lines]
-            rows.append((*page[0][:2], [o[0] for o in seen], [o[1] for o in seen], [o[2] for o in seen], kept))
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=names)
+        for paper, page, seen, ids, texts in _page_lines(batches, lex):
+            rows.append((paper, page, *([o[k] for o in seen] for k in range(3)), ids, texts))
             if len(rows) >= 64:
                 yield pack()
                 rows = []
@@ -505,14 +533,14 @@ class OcrRepair:
             lex, model = _lexicon(shared), LineModel(counts)
             out: list[tuple[int, str]] = []
             for batch in batches:
-                for seen, lines in zip(_observations(batch), batch.column(3).to_pylist()):
-                    out += _page_noise(lines, seen, model.label(seen), lex)
+                for seen, ids, texts in zip(_observations(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                    out += _page_noise(ids, texts, seen, model.label(seen), lex)
                     if len(out) > 20_000:
                         yield _noise(out)
                         out = []
             yield _noise(out)
 
-        return self.pages.select("shape", "layout", "end", "words").mapInArrow(run, "row_id long, item_no int, noise_kind string")
+        return self.pages.select("shape", "layout", "end", "ids", "texts").mapInArrow(run, "row_id long, item_no int, noise_kind string")
 
     def found(self) -> DataFrame:
         """field_name, row_id, item_no, noise_kind of both tables, each once."""
@@ -521,32 +549,30 @@ class OcrRepair:
         return c.unionByName(w).distinct()
 
 
-def _page_noise(lines: list[list[dict]], seen: list, states: list[int], lex: Lexicon) -> list[tuple[int, str]]:
+def _page_noise(ids: list[list[int]], texts: list[list[str]], seen: list, states: list[int], lex: Lexicon) -> list[tuple[int, str]]:
     """word_id and noise kind of the words of a page."""
     out: list[tuple[int, str]] = []
-    usual = lex.words
+    usual, has_misread = lex.words, lex.has_misread
     pending: tuple | None = None  # the first half of a cut word
-    for rows, s, o in zip(lines, states, seen):
+    for row_ids, words, s, o in zip(ids, texts, states, seen):
         if s in (HEADER, NUMBER):
-            out += [(r["id"], "furniture") for r in rows]
+            out += [(r, "furniture") for r in row_ids]
             continue
-        if o[1] == 3 or not rows:  # a title
+        if o[1] == 3 or not words:  # a title
             continue
-        for k, r in enumerate(rows):
-            t = r["text"]
+        last = len(words) - 1
+        for k, t in enumerate(words):
             if k == 0 and pending is not None:
                 m = _TOKEN.match(t)
                 half = pending[1]
                 if m and (half + m.group()).lower() not in usual and (hit := lex.misread(half + m.group())):
-                    out.append((pending[0] if hit[1] < len(half) else r["id"], "misread"))
+                    out.append((pending[0] if hit[1] < len(half) else row_ids[0], "misread"))
                 pending = None
-            elif k == len(rows) - 1 and s == BREAK:
-                out.append((r["id"], "break"))
-                pending = (r["id"], _HALF.search(t[:-1]).group())
-            else:
-                low = t.lower()
-                if low not in usual and (low[-1].isalnum() or low[:-1] not in usual) and _running_misreads(t, lex):
-                    out.append((r["id"], "misread"))
+            elif k == last and s == BREAK:
+                out.append((row_ids[k], "break"))
+                pending = (row_ids[k], _HALF.search(t[:-1]).group())
+            elif t not in usual and has_misread(t):
+                out.append((row_ids[k], "misread"))
     return out
 
 
