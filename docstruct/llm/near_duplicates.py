@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstruct.scale import cut
+from docstruct.scale import cut, spread
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SLOTS = 1 << 20
@@ -76,7 +76,8 @@ class Sets:
         self.start = np.r_[0, np.cumsum(self.n)[:-1]].astype(np.int64) if len(self.n) else np.zeros(0, np.int64)
         one = np.uint64(1)
         if len(self.n):
-            self.sid = (np.add.reduceat(self.h * (self.h | one), self.start) + self.kind * np.uint64(0x9E3779B97F4A7C15)) >> one
+            # the last byte of a set's identity is its kind
+            self.sid = (np.add.reduceat(self.h * (self.h | one), self.start) >> np.uint64(9)) << np.uint64(8) | self.kind
             self.sign = np.bitwise_xor.reduceat(one << (self.h % np.uint64(_SIGN_BITS)), self.start)
         else:
             self.sid = self.sign = np.zeros(0, np.uint64)
@@ -165,10 +166,12 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
     one with many rows is parted by the prefixes of a second order, and beyond
     that into blocks that meet block by block.
     """
+    if len(fields) > 256:
+        raise ValueError("at most 256 fields")
     spark = records.sparkSession
     key_type = records.schema[key].dataType
     fields_array = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f).alias("text")) for k, f in enumerate(fields)])
-    texts = records.select(F.col(key).alias("key"), F.inline(fields_array)).filter(F.length("text") > 0)
+    texts = spread(records.select(F.col(key).alias("key"), F.inline(fields_array)).filter(F.length("text") > 0))
 
     # one reading gives every text as a member of its set, and how many sets of a kind have the words of each slot
     fields_read = [T.StructField("key", key_type), T.StructField("sid", T.LongType()), T.StructField("sign", T.LongType()), T.StructField("is_count", T.BooleanType())]
@@ -250,13 +253,10 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                ok = False
-                for k in range(len(fields)):
-                    if x[f"t{k}"] and y[f"t{k}"]:
-                        u, v = words_of(x[f"t{k}"]), words_of(y[f"t{k}"])
-                        ok = ok or bool(u) and den * len(u & v) >= num * len(u | v)
-                good.append(ok)
+            for sid, x, y in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                k = f"t{sid & 255}"  # only the field the sets are of
+                u, v = words_of(x[k] or ""), words_of(y[k] or "")
+                good.append(bool(u) and den * len(u & v) >= num * len(u | v))
             m = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(m) for k in range(4)], names=["sid_a", "sign_a", "sid_b", "sign_b"])
 
