@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstruct.llm.sections_io import titles_and_paragraphs
+from docstruct.scale import spread
 
 #: Letters of other scripts that look like a Latin letter, with that letter.
 CYRILLIC = dict(zip("асԁеһіјӏорԛѕуѵԝхАВСԌЕНІЈКМОРԚЅТУѴԜХҮ", "acdehijlopqsyvwxABCGEHIJKMOPQSTYVWXY"))
@@ -133,7 +134,7 @@ def consistent_items(items: DataFrame, keys: list[str], text: str) -> DataFrame:
             cols = [batch.column(k) for k in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(forms, pa.string()), pa.array([t != f for t, f in zip(texts, forms)]), pa.array(words, kind)], names=schema.names)
 
-    return items.select(*keys, F.col(text)).mapInArrow(run, schema)
+    return spread(items.select(*keys, F.col(text))).mapInArrow(run, schema)
 
 
 def section_forms(sections: DataFrame) -> DataFrame:
@@ -154,6 +155,6 @@ def skeleton_groups(items: DataFrame, keys: list[str], text: str) -> DataFrame:
             texts = [t for t in batch.column(0).to_pylist() if t]
             yield pa.RecordBatch.from_arrays([pa.array([f(t) for t in texts], pa.string()) for f in (skeleton, str, consistent)], names=schema.names)
 
-    forms = items.select(text).mapInArrow(run, schema).groupBy("skeleton", "form").agg(F.count("*").alias("n"), F.min("consistent_text").alias("consistent_text"))
+    forms = spread(items.select(text)).mapInArrow(run, schema).groupBy("skeleton", "form").agg(F.count("*").alias("n"), F.min("consistent_text").alias("consistent_text"))
     groups = forms.groupBy("skeleton").agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"), F.min("consistent_text").alias("consistent_text"))
     return groups.filter("n_forms > 1")

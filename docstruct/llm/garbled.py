@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstruct.scale import cut
+from docstruct.scale import cut, spread
 
 #: 8-bit encodings text is wrongly read in. Bytes an encoding leaves open are read as control characters.
 READ_AS = ["cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8_r", "cp866", "cp1253"]
@@ -276,6 +276,7 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     spark = docs.sparkSession
     key_type = docs.schema[key].dataType
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
+    base = spread(base)
     pairs, chars = _tables(_count(base.select("text")))
     first = spark.sparkContext.broadcast((pairs, chars))
     schema = T.StructType([T.StructField("key", key_type), T.StructField("source", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("c1", T.IntegerType()), T.StructField("s1", T.DoubleType()), T.StructField("c2", T.IntegerType()), T.StructField("s2", T.DoubleType())])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstruct.llm.sections_io import paragraphs
+from docstruct.scale import spread
 
 #: Abbreviations that always want something after them: titles, references, "for example", units of counting.
 LEADING = """
@@ -226,7 +227,7 @@ def sentences(items: DataFrame, keys: list[str], text: str) -> DataFrame:
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), *(pa.array(v, pa.int32()) for v in (nos, starts, ends))], names=schema.names)
 
-    return items.select(*keys, F.col(text)).mapInArrow(run, schema)
+    return spread(items.select(*keys, F.col(text))).mapInArrow(run, schema)
 
 
 def section_sentences(sections: DataFrame, layer: str | None = None) -> DataFrame:

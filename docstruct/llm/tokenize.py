@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docstruct.scale import spread
+
 from docstruct.llm.bpe import text_encoder
 
 #: Where the vocabulary file lies by default; every function takes another path.
@@ -54,7 +56,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K) -
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists], names=[key, "ids"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K) -> DataFrame:
@@ -70,4 +72,4 @@ def count_tokens(df: DataFrame, key: str, text: str, path: str = BYTE_BPE_50K) -
                 ends, _ = encoder.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ends[1:] - ends[:-1])], names=[key, "n_tokens"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)

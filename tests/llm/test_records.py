@@ -35,7 +35,7 @@ def test_pairs_equal_brute_force(spark, monkeypatch, bucket, block):
         rnd.shuffle(w)
         return rnd.choice([" ", ", "]).join(w)
 
-    rows = [(k, text() if rnd.random() < 0.9 else None, text() if rnd.random() < 0.8 else "") for k in range(120)] + [(500, "a", "..."), (501, "A!", None)]
+    rows = [(k, text() if rnd.random() < 0.9 else None, text() if rnd.random() < 0.8 else "") for k in range(160)] + [(500, "a", "..."), (501, "A!", None)]
     d = spark.createDataFrame(rows + rows[:7], "ref_id long, raw_text string, title string")
     # the tasks see the changed bounds only through the closure of this process, so the rows are made here
     got = {tuple(r) for r in D.similar_pairs(d, "ref_id", ["raw_text", "title"]).collect()}
