@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from docstruct.functions.text import unicode_math_to_latex
 from docstruct.operators import fonts, layout, math_markup, references, sections
+from docstruct.scale import cut
 from docstruct.sinks import export
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """A corpus of laid-out papers; every step returns a new one and nothing runs before a result is asked for.
+    """A corpus of laid-out papers; every step returns a new one.
+
+    Lines, blocks and placed blocks are written to the shared checkpoint folder
+    as they are made, since several later steps read each of them; the rest runs
+    when a result is asked for.
 
     ``titles``: paper_id, ord, page_number, title.
     """
@@ -27,11 +32,12 @@ class Corpus:
 
     @staticmethod
     def from_layout(words: DataFrame, pages: DataFrame, titles: DataFrame | None = None) -> "Corpus":
-        rows = layout.lines(words)
+        # lines and blocks are read by nearly every later step: they are written down once
+        rows = cut(layout.lines(words))
         if titles is None:
             texts, specs = font_frames(rows)
             titles = fonts.section_titles(texts, specs)
-        return Corpus(words, pages, titles, rows, layout.blocks(rows))
+        return Corpus(words, pages, titles, rows, cut(layout.blocks(rows)))
 
     def filter_tables(self, boxes: DataFrame) -> "Corpus":
         rows = layout.without_tables(self.lines, boxes, self.titles)
@@ -40,7 +46,7 @@ class Corpus:
     def text_area(self) -> "Corpus":
         areas = layout.text_area(self.lines, self.pages)
         kept = layout.without_small_blocks(layout.in_text_area(self.blocks, areas), self.pages, self.titles)
-        return replace(self, blocks=kept)
+        return replace(self, blocks=cut(kept))
 
     def ordered_blocks(self) -> DataFrame:
         """Blocks in reading order with section and type: paper_id, ord, page_number, block_idx, text, section, block_type."""
@@ -48,6 +54,7 @@ class Corpus:
         placed = layout.column_order(self.blocks, counts)
         order = F.col("page_number").cast("long") * 1_000_000 + F.col("place")
         b = placed.withColumn("ord", order)
+        b = cut(b)
         renumbered = self.lines.join(b.select(*layout.BLOCK, "place"), layout.BLOCK).withColumn("block_idx", F.col("place")).drop("place")
         labels = sections.assign_sections(renumbered, self.titles).withColumnRenamed("block_idx", "place")
         return sections.classify_blocks(b.join(labels, ["paper_id", "page_number", "place"])).select("paper_id", "ord", "page_number", "block_idx", "text", "section", "block_type")
