@@ -27,13 +27,13 @@ from docstruct.scale import cut, spread
 
 #: 8-bit encodings text is wrongly read in. Bytes an encoding leaves open are read as control characters.
 READ_AS = ["cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8_r", "cp866", "cp1253"]
-READ_AS_WIDE = ["gb18030", "cp932", "big5", "cp949"]
+READ_AS_WIDE = ["gb18030", "gbk", "cp932", "big5", "cp949"]
 #: Chains to undo, as steps (written in, read as), the last garbling first.
 CHAINS: list[tuple[tuple[str, str], ...]] = (
     [(("utf_8", d),) for d in READ_AS + READ_AS_WIDE]
     + [(("utf_8", d), ("utf_8", d)) for d in ("cp1252", "cp437", "cp850", "mac_roman")]
     + [((e, "cp1252"),) for e in ("mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866", "gb18030", "cp932", "euc_jp", "big5", "cp949")]
-    + [((e, d),) for d, es in {"mac_roman": ["cp1252", "cp1251"], "cp437": ["cp1252", "cp866"], "cp850": ["cp1252", "cp866"], "cp1250": ["cp1252"], "cp1251": ["cp1252", "koi8_r", "cp866"], "koi8_r": ["cp1251", "cp866"], "cp866": ["cp1251", "koi8_r"], "gb18030": ["cp1252", "cp932", "euc_jp"], "cp932": ["cp1252", "gb18030"]}.items() for e in es]
+    + [((e, d),) for d, es in {"mac_roman": ["cp1252", "cp1251"], "cp437": ["cp1252", "cp866"], "cp850": ["cp1252", "cp866"], "cp1250": ["cp1252"], "cp1251": ["cp1252", "koi8_r", "cp866"], "koi8_r": ["cp1251", "cp866"], "cp866": ["cp1251", "koi8_r"], "gb18030": ["cp1252", "cp932", "euc_jp"], "gbk": ["cp1252"], "cp932": ["cp1252", "gb18030"]}.items() for e in es]
 )
 #: The chain of text with replacement characters: garbled, and not to be restored.
 LOST = len(CHAINS)
