@@ -4,8 +4,11 @@ States of a line: running header, page number, body, and body that ends in a
 cut word (break). A line is observed by its shape, its layout and its end. The
 model starts from fixed tables and is trained on all lines (Viterbi training):
 a first labelling of the corpus is counted, and the counts, added to the start,
-give the tables of the final labelling. Misread words are those a word list of
-the corpus lacks and gains by undoing characters a scanner confuses.
+give the tables of the final labelling. Misread words are those the corpus
+lacks and gains by undoing characters a scanner confuses. The usual words are a
+list every task has; the words it lacks are asked of the counts of the whole
+text layer by a join, and a rare word is taken for what stood there if that is
+likelier than a word not seen before (noisy channel, measured on the corpus).
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ class Lexicon:
         self.order = sorted(words)
         self.heads = {w.split("-", 1)[0] for w in words if "-" in w}
         self._misread: dict[str, tuple[str, int] | None] = {}
-        self._pieces: dict[str, bool] = {}
+        self._pieces: dict[str, list[str]] = {}
 
     def misread(self, token: str) -> tuple[str, int] | None:
         """The word a token was misread from, and where; None if it is usual or nothing is near."""
@@ -79,16 +82,29 @@ class Lexicon:
         found = self._misread[token] = self._find(token)
         return found
 
-    def has_misread(self, text: str) -> bool:
-        """Whether a piece of text between blanks has a misread word."""
+    def asked(self, text: str) -> list[str]:
+        """The tokens of a piece of text between blanks that the list lacks."""
         known = self._pieces.get(text)
         if known is None:
             if len(self._pieces) > 300_000:
                 self._pieces.clear()
-            known = self._pieces[text] = bool(_running_misreads(text, self))
+            known = self._pieces[text] = [t for t, _ in _unlisted(text, self)]
         return known
 
     def _find(self, token: str) -> tuple[str, int] | None:
+        t = token.lower()
+        if len(t) < 3 or t in self.words or t.strip("'’") in self.words:
+            return None
+        whole = self.misread_whole(token)
+        if whole is None and "-" in t:
+            for at, part in _parts(token)[1:]:
+                inner = self.misread(part)
+                if inner:
+                    return inner[0], at + inner[1]
+        return whole
+
+    def misread_whole(self, token: str) -> tuple[str, int] | None:
+        """As ``misread``, without a look at the parts between hyphens."""
         t = token.lower()
         if len(t) < 3 or t in self.words or t.strip("'’") in self.words:
             return None
@@ -96,18 +112,11 @@ class Lexicon:
             t = "".join("l" if c == "I" and k else c.lower() for k, c in enumerate(token))
             if t in self.words and "I" in token[1:]:
                 return t, token.index("I", 1)
-        best, at = self._nearest(t, 2 if len(t) > 5 else 1)
-        if best is None and "-" in t:
-            at = 0
-            for part in token.split("-"):
-                inner = self.misread(part) if len(part) > 3 else None
-                if inner:
-                    return inner[0], at + inner[1]
-                at += len(part) + 1
+        best, at, _ = self._nearest(t, 2 if len(t) > 5 else 1)
         return (best, at) if best else None
 
-    def _nearest(self, t: str, most: int) -> tuple[str | None, int]:
-        """The word of fewest undone confusions, of these the most usual, and the first place; only beginnings of words are followed."""
+    def _nearest(self, t: str, most: int) -> tuple[str | None, int, int]:
+        """The word of fewest undone confusions, of these the most usual, the first place and how many; only beginnings of words are followed."""
         words, order, n = self.words, self.order, len(t)
         best: tuple[int, int, str, int] | None = None
         stack = [(0, "", 0, n)]
@@ -127,7 +136,7 @@ class Lexicon:
                 at = bisect.bisect_left(order, longer)
                 if at < len(order) and order[at].startswith(longer):
                     stack.append((k + used, longer, s, place if s == slips else min(place, k)))
-        return (best[2], best[3]) if best else (None, 0)
+        return (best[2], best[3], best[0]) if best else (None, 0, 0)
 
     def is_cut(self, half: str, rest: str | None) -> bool:
         """Whether the hyphen after ``half`` only cuts the word that goes on with ``rest`` (None: not known)."""
@@ -277,8 +286,8 @@ def _counted(texts: DataFrame) -> DataFrame:
 LEAST_SHARE = 4e-7
 
 
-def build_lexicon(sections: DataFrame) -> dict[str, int]:
-    """The usual words of the whole table: those of text layers, and of scans where no likelier word is near."""
+def build_lexicon(sections: DataFrame) -> tuple[dict[str, int], DataFrame]:
+    """The usual words of the whole table, those of text layers, and of scans where no likelier word is near; and the counts of all words."""
     texts = sections.select(F.explode("contents").alias("text"), (F.col("layer") == "ocr").alias("is_scan")).filter(F.length("text") > 0)
     counts = cut(_counted(texts))
     total = counts.agg(F.sum("n_text") + F.sum("n_scan")).first()[0] or 0
@@ -288,7 +297,193 @@ def build_lexicon(sections: DataFrame) -> dict[str, int]:
     for w, t, s in zip(rows["word"], rows["n_text"], rows["n_scan"]):
         if w not in words and not any(words.get(c, 0) > s / 5 for c, _ in _undone(w)):
             words[w] = int(s)
-    return words
+    return words, counts
+
+
+#: Every confusion as (read, stood); letters of the model of new words: a to z, the start of a word, other letters, other signs; and its lengths.
+PAIRS = [(bad, good) for bad, goods in _SWAPS for good in goods]
+_START, _CLASSES, _LENGTHS = 26, 29, 33
+#: Counts up to this are corrected by how many words have them (Good-Turing).
+_LOW_COUNTS = 10
+
+
+def _classes(word: str) -> list[int]:
+    return [_START, *(ord(c) - 97 if "a" <= c <= "z" else 27 if c.isalpha() else 28 for c in word)]
+
+
+class Channel:
+    """How often each confusion happens and what a word not seen before looks like, as logarithms; measured on the corpus, of fixed size."""
+
+    SIZE = 2 * len(PAIRS) + _CLASSES**2 + _LENGTHS + _LOW_COUNTS + 2
+
+    def __init__(self, counts: np.ndarray, least: int):
+        n = len(PAIRS)
+        hits, chances, letters, lengths, self._of_count = np.split(counts, np.cumsum([n, n, _CLASSES**2, _LENGTHS]))
+        letters = letters.reshape(_CLASSES, _CLASSES)
+        # a confusion never counted starts as one in a thousand, with the weight of a hundred readings
+        self.slip = dict(zip(PAIRS, np.log(np.minimum(1, (hits + 0.1) / (chances + 100))).tolist()))
+        self._letters = np.log((letters + 0.5) / (letters.sum(1, keepdims=True) + 0.5 * _CLASSES)).tolist()
+        self._lengths = np.log((lengths + 0.5) / (lengths.sum() + 0.5 * _LENGTHS)).tolist()
+        self._once = math.log(max(self._of_count[1], 1e-9))
+        #: The logarithm of the largest count of a word that is not listed.
+        self.most = math.log(max(1, least - 1))
+
+    def new(self, token: str) -> float:
+        """The weight of the token as a word not seen before: new words come as often, and look, as those seen once."""
+        seen = _classes(token)
+        return self._once + self._lengths[min(len(token), _LENGTHS - 1)] + sum(self._letters[a][b] for a, b in zip(seen, seen[1:]))
+
+    def weight(self, n: int) -> float:
+        """The weight of a word counted n times; few counts say too much of a word."""
+        if n <= _LOW_COUNTS:
+            n = min(n, (n + 1) * (self._of_count[n + 1] + 1) / (self._of_count[n] + 1))
+        return math.log(n)
+
+    def spellings(self, t: str, most: int, least: float) -> Iterator[tuple[str, int, int, float]]:
+        """What may have stood where t was read: spelling, confusions, first place, and their weight if above least."""
+        stack = [(0, "", 0, len(t), 0.0)]
+        while stack:
+            k, head, slips, place, chance = stack.pop()
+            if slips:
+                yield head + t[k:], slips, place, chance
+            if slips == most:
+                continue
+            for i in range(k, len(t)):
+                for bad, goods in _BY_FIRST.get(t[i], ()):
+                    if t.startswith(bad, i):
+                        for g in goods:
+                            if chance + self.slip[bad, g] > least:
+                                stack.append((i + len(bad), head + t[k:i] + g, slips + 1, min(place, i), chance + self.slip[bad, g]))
+
+
+def _measure(counts: DataFrame, lexicon) -> np.ndarray:
+    """The counts of a Channel: confusions that give a listed word, chances for them, letters of words seen once, words by count."""
+    n = len(PAIRS)
+    at = {p: k for k, p in enumerate(PAIRS)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = _lexicon(lexicon)
+        out = np.zeros(Channel.SIZE)
+        for batch in batches:
+            for w, text, scan in zip(*(c.to_pylist() for c in batch.columns)):
+                if 0 < text <= _LOW_COUNTS + 1:
+                    out[2 * n + _CLASSES**2 + _LENGTHS + text] += 1
+                if w in lex.words:
+                    if scan:
+                        out[n : 2 * n] += [scan * w.count(good) for _, good in PAIRS]
+                    continue
+                if scan and not text and len(w) > 2:
+                    near = [(lex.words[w[:k] + good + w[k + len(bad) :]], bad, good) for bad, good in PAIRS for k in range(len(w)) if w.startswith(bad, k) and w[:k] + good + w[k + len(bad) :] in lex.words]
+                    if near:
+                        out[at[max(near)[1:]]] += scan
+                if text == 1:
+                    seen = _classes(w)
+                    for a, b in zip(seen, seen[1:]):
+                        out[2 * n + a * _CLASSES + b] += 1
+                    out[2 * n + _CLASSES**2 + min(len(w), _LENGTHS - 1)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out)], names=["at", "n"])
+
+    out = np.zeros(Channel.SIZE)
+    for r in counts.mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def _parts(token: str) -> list[tuple[int, str]]:
+    """The token, and the parts between its hyphens that are asked if it is neither known nor misread as a whole, with their places."""
+    out, at = [(0, token)], 0
+    if "-" in token:
+        for part in token.split("-"):
+            if len(part) > 3:
+                out.append((at, part))
+            at += len(part) + 1
+    return out
+
+
+def _as_read(token: str) -> str:
+    """Lower case, a capital I inside a word of small letters as the l it looks like."""
+    if not token.isupper() and any(c.isupper() for c in token[1:]):
+        return "".join("l" if c == "I" and k else c.lower() for k, c in enumerate(token))
+    return token.lower()
+
+
+SPELLING_ROWS = "token string, part int, slips int, place int, chance double, word string"
+
+
+def _token_spellings(token: str, lex: Lexicon, channel: Channel) -> Iterator[tuple]:
+    """Rows of SPELLING_ROWS: what to look up among all words for a token, and one row that finds nothing."""
+    yield token, 0, -1, 0, 0.0, "\0" + token
+    for no, (_, part) in enumerate(_parts(token)):
+        t = part.lower()
+        if len(t) < 3 or t in lex.words or t.strip("'’") in lex.words:
+            continue
+        for w in {t, t.strip("'’")}:
+            yield token, no, 0, 0, 0.0, w
+        read, most = _as_read(part), 2 if len(t) > 5 else 1
+        if read != t and read in lex.words or lex._nearest(read, most)[2] == 1:
+            continue
+        if read != t:
+            yield token, no, 1, part.index("I", 1), channel.slip["i", "l"], read
+        best: dict[str, tuple] = {}
+        for w, slips, place, chance in channel.spellings(read, most, channel.new(read) - channel.most):
+            if w not in best or chance > best[w][2]:
+                best[w] = slips, place, chance
+        for w, x in best.items():
+            if w not in lex.words:
+                yield token, no, *x, w
+
+
+def _settled(token: str, found: list[tuple[int, int, int, float, str, int]], lex: Lexicon, channel: Channel) -> tuple[str, int] | None:
+    """The word a token was misread from, and where; ``found``: part, confusions, place, weight, word and count of the words there are."""
+    if {token.lower(), token.lower().strip("'’")} & lex.words.keys():
+        return None
+    for no, (at, part) in enumerate(_parts(token)):
+        own = [x for x in found if x[0] == no]
+        if any(x[1] == 0 for x in own):
+            if no == 0:
+                return None
+            continue
+        read = _as_read(part)
+        hit = lex.misread(part) if no else lex.misread_whole(token)
+        best = max(((chance + channel.weight(n), word, place) for _, _, place, chance, word, n in own), default=None)
+        if best and best[0] <= channel.new(read):
+            best = None
+        if hit and best:
+            listed = max((c for w, _, _, c in channel.spellings(read, 2, -math.inf) if w == hit[0]), default=0.0) + math.log(max(1, lex.words.get(hit[0], 1)))
+            best = best if best[0] > listed else None
+        if best or hit:
+            word, place = best[1:] if best else hit
+            return word, at + place
+    return None
+
+
+def misread_words(tokens: DataFrame, counts: DataFrame, lexicon, channel) -> DataFrame:
+    """token, word, place of the misread ones of the unlisted tokens: every word of the text layer may be what stood there.
+
+    The distinct tokens meet the whole count table by their spellings; those that
+    could not win against a new word even with the largest count are left out.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, ch = _lexicon(lexicon), channel.value
+        for batch in batches:
+            rows = [r for t in batch.column(0).to_pylist() for r in _token_spellings(t, lex, ch)]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=[f.split()[0] for f in SPELLING_ROWS.split(", ")])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, ch = _lexicon(lexicon), channel.value
+        for batch in batches:
+            rows = []
+            for token, found in zip(*(c.to_pylist() for c in batch.columns)):
+                hit = _settled(token, [tuple(x.values()) for x in found if x["n_text"] is not None], lex, ch)
+                if hit:
+                    rows.append((token, *hit))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 3, (pa.string(), pa.string(), pa.int32()))], names=["token", "word", "place"])
+
+    all_words = counts.filter("n_text > 0").select("word", "n_text")
+    met = tokens.distinct().mapInArrow(spell, SPELLING_ROWS).join(all_words, "word", "left").filter("n_text IS NOT NULL OR slips < 0")
+    return cut(met.groupBy("token").agg(F.collect_list(F.struct("part", "slips", "place", "chance", "word", "n_text")).alias("found")).mapInArrow(settle, "token string, word string, place int"))
 
 
 def _recurring(sections: DataFrame) -> DataFrame:
@@ -460,16 +655,9 @@ def _lexicon(shared) -> Lexicon:
     return _lexicons[id(value)]
 
 
-def _running_misreads(line: str, lexicon: Lexicon) -> list[tuple[str, int, str]]:
-    """Misread words of a line of running text: token, where it starts, the word."""
-    out = []
-    for m in _TOKEN.finditer(line):
-        t = m.group()
-        if t.lower() not in lexicon.words and any(c.isalpha() for c in t):
-            hit = lexicon.misread(t)
-            if hit:
-                out.append((t, m.start(), hit[0]))
-    return out
+def _unlisted(line: str, lexicon: Lexicon) -> list[tuple[str, int]]:
+    """The tokens of a line of running text that the list lacks and a scanner can have misread, and where they start."""
+    return [(t, m.start()) for m in _TOKEN.finditer(line) if len(t := m.group()) > 2 and (low := t.lower()) not in lexicon.words and not _BY_FIRST.keys().isdisjoint(low) and any(c.isalpha() for c in t)]
 
 
 class OcrRepair:
@@ -477,13 +665,19 @@ class OcrRepair:
 
     def __init__(self, sections: DataFrame, words: DataFrame):
         spark = sections.sparkSession
-        self.lexicon = spark.sparkContext.broadcast(build_lexicon(sections))
+        words_listed, self.word_counts = build_lexicon(sections)
+        self.lexicon = spark.sparkContext.broadcast(words_listed)
+        least = min(words_listed.values(), default=2)
+        self.channel = spark.sparkContext.broadcast(Channel(_measure(self.word_counts, self.lexicon), least))
         self.contents = cut(_content_rows(sections))
         self.pages = _observed_pages(words, self.lexicon)
         self.counts = _train(self.contents, self.pages, self.lexicon)
 
+    def _misread(self, tokens: DataFrame) -> DataFrame:
+        return misread_words(tokens, self.word_counts, self.lexicon, self.channel)
+
     def content_noise(self) -> DataFrame:
-        """row_id, item_no, noise_kind of the paragraphs of scanned sections."""
+        """NOISE_ROWS of the paragraphs of scanned sections."""
         shared, counts = self.lexicon, self.counts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,46 +686,54 @@ class OcrRepair:
                 rows = []
                 for sid, no, lines, seen in _paragraph_lines(batch, lex):
                     states = model.label(seen)
-                    kinds = set()
                     if BREAK in states:
-                        kinds.add("break")
+                        rows.append((sid, no, "break", None, None, None))
                     if any(s in (HEADER, NUMBER) and o[0] for s, o in zip(states, seen)):
-                        kinds.add("furniture")
-                    body = join_lines(lines, states)
-                    if _running_misreads(body, lex):
-                        kinds.add("misread")
-                    rows += [(sid, no, k) for k in sorted(kinds)]
-                cols = list(zip(*rows)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], names=["row_id", "item_no", "noise_kind"])
+                        rows.append((sid, no, "furniture", None, None, None))
+                    rows += [(sid, no, "misread", t, None, None) for t in sorted({t for t, _ in _unlisted(join_lines(lines, states), lex)})]
+                yield _noise(rows)
 
-        return self.contents.mapInArrow(run, "row_id long, item_no int, noise_kind string")
+        return self.contents.mapInArrow(run, NOISE_ROWS)
 
     def paragraphs(self) -> DataFrame:
         """section_id, item_no, text: the paragraphs of scanned sections, continuous and without noise."""
         shared, counts = self.lexicon, self.counts
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lex, model = _lexicon(shared), LineModel(counts)
             for batch in batches:
                 rows = []
                 for sid, no, lines, seen in _paragraph_lines(batch, lex):
                     body = join_lines(lines, model.label(seen))
-                    for t, at, word in reversed(_running_misreads(body, lex)):
-                        if "-" not in t or "-" in word:
+                    rows.append((sid, no, body, sorted({t for t, _ in _unlisted(body, lex)})))
+                cols = list(zip(*rows)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())))], names=["section_id", "item_no", "text", "tokens"])
+
+        def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lex = _lexicon(shared)
+            for batch in batches:
+                texts = []
+                for body, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    words = {x["token"]: x["word"] for x in found or ()}
+                    for t, at in reversed(_unlisted(body, lex) if words else []):
+                        word = words.get(t)
+                        if word and ("-" not in t or "-" in word):
                             body = body[:at] + (word[:1].upper() + word[1:] if t[:1].isupper() else word) + body[at + len(t) :]
-                    rows.append((sid, no, body))
-                cols = list(zip(*rows)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], names=["section_id", "item_no", "text"])
+                    texts.append(body)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["section_id", "item_no", "text"])
 
-        return self.contents.mapInArrow(run, "section_id long, item_no int, text string")
+        bodies = cut(self.contents.mapInArrow(join, "section_id long, item_no int, text string, tokens array<string>"))
+        asked = bodies.select("section_id", "item_no", F.explode("tokens").alias("token")).distinct()
+        found = asked.join(self._misread(asked.select("token")), "token").groupBy("section_id", "item_no").agg(F.collect_list(F.struct("token", "word")).alias("found"))
+        return bodies.drop("tokens").join(found, ["section_id", "item_no"], "left").mapInArrow(repair, "section_id long, item_no int, text string")
 
     def word_noise(self) -> DataFrame:
-        """row_id, item_no (0), noise_kind of the words table."""
+        """NOISE_ROWS of the words table; item_no is 0."""
         shared, counts = self.lexicon, self.counts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lex, model = _lexicon(shared), LineModel(counts)
-            out: list[tuple[int, str]] = []
+            out: list[tuple] = []
             for batch in batches:
                 for seen, ids, texts in zip(_observations(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                     out += _page_noise(ids, texts, seen, model.label(seen), lex)
@@ -540,23 +742,30 @@ class OcrRepair:
                         out = []
             yield _noise(out)
 
-        return self.pages.select("shape", "layout", "end", "ids", "texts").mapInArrow(run, "row_id long, item_no int, noise_kind string")
+        return self.pages.select("shape", "layout", "end", "ids", "texts").mapInArrow(run, NOISE_ROWS)
 
     def found(self) -> DataFrame:
         """field_name, row_id, item_no, noise_kind of both tables, each once."""
-        c = self.content_noise().select(F.lit("contents").alias("field_name"), "row_id", "item_no", "noise_kind")
-        w = self.word_noise().select(F.lit("word").alias("field_name"), "row_id", "item_no", "noise_kind")
-        return c.unionByName(w).distinct()
+        c = self.content_noise().withColumn("field_name", F.lit("contents"))
+        rows = cut(c.unionByName(self.word_noise().withColumn("field_name", F.lit("word"))))
+        asked = rows.filter("token IS NOT NULL")
+        misread = asked.join(self._misread(asked.select("token")), "token").withColumn("row_id", F.when(F.col("place") < F.col("half"), F.col("first_id")).otherwise(F.col("row_id")))
+        cols = ["field_name", "row_id", "item_no", "noise_kind"]
+        return rows.filter("token IS NULL").select(*cols).unionByName(misread.select(*cols)).distinct()
+
+
+#: A row with a token counts if the token is misread; first_id has the first ``half`` characters of the token.
+NOISE_ROWS = "row_id long, item_no int, noise_kind string, token string, first_id long, half int"
 
 
-def _page_noise(ids: list[list[int]], texts: list[list[str]], seen: list, states: list[int], lex: Lexicon) -> list[tuple[int, str]]:
-    """word_id and noise kind of the words of a page."""
-    out: list[tuple[int, str]] = []
-    usual, has_misread = lex.words, lex.has_misread
+def _page_noise(ids: list[list[int]], texts: list[list[str]], seen: list, states: list[int], lex: Lexicon) -> list[tuple]:
+    """NOISE_ROWS of the words of a page."""
+    out: list[tuple] = []
+    usual = lex.words
     pending: tuple | None = None  # the first half of a cut word
     for row_ids, words, s, o in zip(ids, texts, states, seen):
         if s in (HEADER, NUMBER):
-            out += [(r, "furniture") for r in row_ids]
+            out += [(r, 0, "furniture", None, None, None) for r in row_ids]
             continue
         if o[1] == 3 or not words:  # a title
             continue
@@ -565,19 +774,20 @@ def _page_noise(ids: list[list[int]], texts: list[list[str]], seen: list, states
             if k == 0 and pending is not None:
                 m = _TOKEN.match(t)
                 half = pending[1]
-                if m and (half + m.group()).lower() not in usual and (hit := lex.misread(half + m.group())):
-                    out.append((pending[0] if hit[1] < len(half) else row_ids[0], "misread"))
+                if m and (half + m.group()).lower() not in usual:
+                    out.append((row_ids[0], 0, "misread", half + m.group(), pending[0], len(half)))
                 pending = None
             elif k == last and s == BREAK:
-                out.append((row_ids[k], "break"))
+                out.append((row_ids[k], 0, "break", None, None, None))
                 pending = (row_ids[k], _HALF.search(t[:-1]).group())
-            elif t not in usual and has_misread(t):
-                out.append((row_ids[k], "misread"))
+            elif t not in usual:
+                out += [(row_ids[k], 0, "misread", token, None, None) for token in lex.asked(t)]
     return out
 
 
-def _noise(out: list[tuple[int, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([k for _, k in out], pa.string())], names=["row_id", "item_no", "noise_kind"])
+def _noise(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=[f.split()[0] for f in NOISE_ROWS.split(", ")])
 
 
 def join_lines(lines: list[str], states: list[int]) -> str:

@@ -126,3 +126,18 @@ def test_ocr_tables(spark):
     assert text[100, 0] == "Our domain-agnostic regression confirms the lattice of stable kernels in every classifier."
     empty = O.OcrRepair(s.limit(0), w.limit(0))
     assert empty.found().count() == 0
+
+
+def test_rare_words_are_repair_targets(spark):
+    usual = "every classifier confirms the regular lattice of stable kernels in the northern regime. "
+    text = [(k, k, [usual * 3], "text") for k in range(40)] + [(50 + k, 50 + k, [x], "text") for k, x in enumerate(["a quaternion", "latfice"])]
+    scans = [usual.replace("every", "evcry"), "the quatcrnion", "the Tofosada", "the latfice", "the quatern1on"]
+    rows = text + [(100 + k, 100 + k, [x], "ocr") for k, x in enumerate(scans)]
+    s = spark.createDataFrame(rows, "section_id long, paper_id long, contents array<string>, layer string")
+    w = spark.createDataFrame([(1, 100, 1, 0, 0, 0, "quatcrnion", 1.0, 60.0, 9.0, 10.0), (2, 100, 1, 0, 0, 1, "latfice", 9.0, 60.0, 9.0, 10.0)], "word_id long, paper_id long, page_number int, block_idx int, line_idx int, word_idx int, text string, x double, y double, width double, height double")
+    r = O.OcrRepair(s, w)
+    assert "quaternion" not in r.lexicon.value
+    # a word counted once is found again and repaired; a right word that is rare is none, though near a usual one
+    assert {tuple(x)[:3] for x in r.found().filter("noise_kind = 'misread'").collect()} == {("contents", 100, 0), ("contents", 101, 0), ("contents", 104, 0), ("word", 1, 0)}
+    got = {x.section_id: x.text for x in r.paragraphs().collect()}
+    assert (got[101], got[102], got[103], got[104]) == ("the quaternion", "the Tofosada", "the latfice", "the quaternion") and got[100].startswith("every ")
