@@ -4,7 +4,9 @@
 character by its prototype from the look-alike table and decomposes again:
 texts that look alike have equal skeletons. ``consistent`` gives the form in
 which they are kept: composed, with plain spaces, and every word in the script
-it is written in, so that a letter borrowed from another script comes back.
+it is written in, so that a letter borrowed from another script comes back. What
+scripts can't tell (a look-alike of the same script, a word written wholly in
+look-alikes) is told by the corpus: the usual word of equal skeleton.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstruct.llm.sections_io import titles_and_paragraphs
-from docstruct.scale import spread
+from docstruct.scale import cut, spread
 
 #: Letters of other scripts that look like a Latin letter, with that letter.
 CYRILLIC = dict(zip("асԁеһіјӏорԛѕуѵԝхАВСԌЕНІЈКМОРԚЅТУѴԜХҮ", "acdehijlopqsyvwxABCGEHIJKMOPQSTYVWXY"))
@@ -46,13 +48,14 @@ _WIDE_SIGNS = regex.compile(r"[！-／：-＠［-｀｛-･]")
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _HYPHENS = regex.compile(r"[‐‑﹣]")
 _RUN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{M}]+")
-_MIXED = regex.compile(r"\p{Latin}\p{M}*[\p{Cyrillic}\p{Greek}\p{Armenian}]|[\p{Cyrillic}\p{Greek}\p{Armenian}]\p{M}*\p{Latin}")
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
+_MIXED = regex.compile("|".join(rf"\p{{{a}}}\p{{M}}*\p{{{b}}}" for a in _SCRIPTS for b in _SCRIPTS if a != b))
 _PLAIN = regex.compile(r"[\x00-\x7f]*")
 
 
 @lru_cache(1 << 16)
 def _script(ch: str) -> str:
-    for name in ("Latin", "Cyrillic", "Greek", "Armenian"):
+    for name in _SCRIPTS:
         if regex.match(rf"\p{{{name}}}", ch):
             return name
     return ""
@@ -137,9 +140,98 @@ def consistent_items(items: DataFrame, keys: list[str], text: str) -> DataFrame:
     return spread(items.select(*keys, F.col(text))).mapInArrow(run, schema)
 
 
+#: Letters of a script that look like none of Latin (of Latin: like none of Cyrillic or Greek); a text with one is written in it.
+_SURE = {n: regex.compile(rf"(?![{''.join(like)}])\p{{{n}}}") for n, like in (("Latin", [*_BACK["Cyrillic"], *_BACK["Greek"], *LATIN]), ("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN))}
+_LATIN_LIKE = regex.compile(f"[{''.join(LATIN)}]")
+#: Words wholly in look-alikes: of Latin by script, and Latin ones by the script they look like.
+_ALIKE = {n: regex.compile(rf"(?<![\p{{L}}\p{{M}}])[{''.join(like)}]+(?![\p{{L}}\p{{M}}])") for n, like in (("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN))}
+_LATIN_ALIKE = {n: regex.compile(rf"(?<![\p{{L}}\p{{M}}])[{''.join(back)}]{{2,}}(?![\p{{L}}\p{{M}}])") for n, back in _BACK.items()}
+
+
+def suspects(text: str) -> dict[str, tuple[str, bool]]:
+    """Words of a consistent text that may stand for another: the script of the other, and whether that must be the more usual one.
+
+    Words with a Latin letter that looks like another Latin letter; words wholly
+    in look-alikes of a script the text is not written in; Latin words wholly in
+    look-alikes in a text of another script. Greek letters that stand alone and
+    single Latin letters are signs.
+    """
+    out: dict[str, tuple[str, bool]] = {}
+    if _PLAIN.fullmatch(text):
+        return out
+    if _LATIN_LIKE.search(text):
+        out.update((w, ("Latin", True)) for w in _RUN.findall(text) if _LATIN_LIKE.search(w) and {_script(c) for c in w} <= {"Latin", ""})
+    for script, alike in _ALIKE.items():
+        if _SURE[script].search(text):
+            if script in _LATIN_ALIKE:
+                for w in _LATIN_ALIKE[script].findall(text):
+                    out.setdefault(w, (script, True))
+        elif (found := alike.findall(text)) and _SURE["Latin"].search(text):
+            out.update((w, ("Latin", False)) for w in found if len(w) > 1 or script != "Greek")
+    return out
+
+
+def by_corpus(forms: DataFrame, keys: list[str]) -> DataFrame:
+    """``forms`` (of ``consistent_items``) with the suspect words replaced by the usual word of the corpus of equal skeleton.
+
+    Suspects and the words of the corpus meet by skeleton; where no text has a
+    suspect the forms are returned as they are.
+    """
+    held = T.StructType([*(forms.schema[k] for k in [*keys, "text"]), T.StructField("skeleton", T.StringType()), T.StructField("word", T.StringType()), T.StructField("home", T.StringType()), T.StructField("is_rarer", T.BooleanType())])
+
+    columns = forms.columns
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, skeleton(w), w, *x) for k, t in enumerate(batch.column(len(keys) + 1).to_pylist()) if t for w, x in suspects(t).items()]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys) + 1)), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3)), pa.array([r[4] for r in rows], pa.bool_())], names=held.names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                words.update(sought.findall(t or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["form", "n"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            scripts = [{_script(c) for c in w} - {""} for w in own]
+            script = ["" if len(x) != 1 or _LATIN_LIKE.search(w) else next(iter(x)) for w, x in zip(own, scripts)]
+            yield pa.RecordBatch.from_arrays([pa.array([skeleton(w) for w in own], pa.string()), batch.column(0), batch.column(1), pa.array(script, pa.string())], names=["skeleton", "form", "n", "script"])
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {k: batch.column(k).to_pylist() for k in batch.schema.names}
+            for k, found in enumerate(rows["found"]):
+                back = {x["word"]: x["form"] for x in found or ()}
+                if back:
+                    old = rows["consistent_text"][k]
+                    rows["consistent_text"][k] = _RUN.sub(lambda m: back.get(m.group(), m.group()), old)
+                    rows["is_changed"][k] = True
+                    rows["words"][k] = (rows["words"][k] or []) + [{"original": w, "consistent": f, "skeleton": skeleton(w)} for w, f in sorted(back.items())]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[n], batch.schema.field(n).type) for n in columns], names=columns)
+
+    found = cut(forms.select(*keys, "text", "consistent_text").mapInArrow(ask, held))
+    # a word that looks like a suspect is a Latin one, or wholly in look-alikes of the other script; the suspects are counted too
+    homes = {r["home"] for r in found.select("home").distinct().collect()}
+    if not homes:
+        return forms
+    sought = _RUN if "Latin" in homes else regex.compile("|".join(x.pattern for n in sorted(homes) for x in (_ALIKE[n], _LATIN_ALIKE[n])))
+    words = forms.select("consistent_text").mapInArrow(count, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    words = cut(words.mapInArrow(look, "skeleton string, form string, n long, script string"))
+    own = words.select(F.col("form").alias("word"), F.col("n").alias("n_own"))
+    pairs = found.select("skeleton", "word", "home", "is_rarer").distinct().join(own, "word").join(words, "skeleton")
+    usual = pairs.filter("form <> word AND script = home AND n > 1 AND (n > n_own OR NOT is_rarer)").groupBy("word", "home", "is_rarer").agg(F.max_by("form", F.struct("n", "form")).alias("form"))
+    per_item = found.join(usual, ["word", "home", "is_rarer"]).groupBy(*keys, "text").agg(F.collect_set(F.struct("word", "form")).alias("found"))
+    return forms.join(per_item, [*keys, "text"], "left").select(*columns, "found").mapInArrow(replace, forms.schema)
+
+
 def section_forms(sections: DataFrame) -> DataFrame:
-    """``consistent_items`` of every title and paragraph of a sections table."""
-    return consistent_items(titles_and_paragraphs(sections), ["section_id", "item_no"], "text")
+    """``consistent_items`` of every title and paragraph of a sections table, what scripts can't tell told by the corpus."""
+    keys = ["section_id", "item_no"]
+    return by_corpus(cut(consistent_items(titles_and_paragraphs(sections), keys, "text")), keys)
 
 
 def skeleton_groups(items: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -30,6 +30,19 @@ def test_skeletons(spark):
     assert sum(r.is_changed for r in rows) == 1 and len(rows) == 6
 
 
+def test_look_alikes_by_corpus(spark):
+    usual = [(k, f"copy the data of a model {k}") for k in range(5)] + [(10 + k, "нос и рост, данные и модель") for k in range(5)]
+    cases = {20: ("the dɑta here", "the data here"), 21: ("сору the model", "copy the model"), 22: ("дaнные и мοдель", "данные и модель"), 23: ("դ of а model", None), 24: ("рoст и hoc", None)}
+    none = [(30, "kapı of the model"), (31, "нос и рост а не"), (32, "the ο of model"), (33, "σ² and ν of a model"), (34, None), (35, "")]
+    rows = usual + [(k, t) for k, (t, _) in cases.items()] + none
+    d = spark.createDataFrame([(k, None, [t]) for k, t in rows], "section_id long, title string, contents array<string>")
+    got = {r.section_id: (r.is_changed, r.consistent_text) for r in C.section_forms(d).collect()}
+    for k, (_, want) in cases.items():
+        assert got[k][0] and want in (None, got[k][1]), got[k]
+    assert got[23][1] == "դ of a model"
+    assert not any(got[k][0] for k, t in usual + none if t)
+
+
 # problem 4 ------------------------------------------------------------------------------------------------------
 def _check(text, cap, overlap):
     spans = P.split_text(text, cap, overlap)
