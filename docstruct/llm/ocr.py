@@ -749,20 +749,21 @@ class OcrRepair:
         c = self.content_noise().withColumn("field_name", F.lit("contents"))
         rows = cut(c.unionByName(self.word_noise().withColumn("field_name", F.lit("word"))))
         asked = rows.filter("token IS NOT NULL")
-        misread = asked.join(self._misread(asked.select("token")), "token").withColumn("row_id", F.when(F.col("place") < F.col("half"), F.col("first_id")).otherwise(F.col("row_id")))
+        misread = asked.join(self._misread(asked.select("token")), "token").filter("start IS NULL OR start <= place AND place < stop")
         cols = ["field_name", "row_id", "item_no", "noise_kind"]
         return rows.filter("token IS NULL").select(*cols).unionByName(misread.select(*cols)).distinct()
 
 
-#: A row with a token counts if the token is misread; first_id has the first ``half`` characters of the token.
-NOISE_ROWS = "row_id long, item_no int, noise_kind string, token string, first_id long, half int"
+#: A row with a token counts if the token is misread, and first from place start on before stop, if they are given.
+NOISE_ROWS = "row_id long, item_no int, noise_kind string, token string, start int, stop int"
+_NO_END = 1 << 30
 
 
 def _page_noise(ids: list[list[int]], texts: list[list[str]], seen: list, states: list[int], lex: Lexicon) -> list[tuple]:
     """NOISE_ROWS of the words of a page."""
     out: list[tuple] = []
     usual = lex.words
-    pending: tuple | None = None  # the first half of a cut word
+    pending: list[tuple[int, str]] = []  # the parts so far of a cut word
     for row_ids, words, s, o in zip(ids, texts, states, seen):
         if s in (HEADER, NUMBER):
             out += [(r, 0, "furniture", None, None, None) for r in row_ids]
@@ -771,22 +772,28 @@ def _page_noise(ids: list[list[int]], texts: list[list[str]], seen: list, states
             continue
         last = len(words) - 1
         for k, t in enumerate(words):
-            if k == 0 and pending is not None:
-                m = _TOKEN.match(t)
-                half = pending[1]
-                if m and (half + m.group()).lower() not in usual:
-                    out.append((row_ids[0], 0, "misread", half + m.group(), pending[0], len(half)))
-                pending = None
-            elif k == last and s == BREAK:
+            is_break = k == last and s == BREAK
+            if is_break:
                 out.append((row_ids[k], 0, "break", None, None, None))
-                pending = (row_ids[k], _HALF.search(t[:-1]).group())
+            if k == 0 and pending and not is_break:
+                m = _TOKEN.match(t)
+                whole = "".join(piece for _, piece in pending) + m.group() if m else ""
+                if m and whole.lower() not in usual:
+                    at = 0
+                    for r, piece in pending:
+                        out.append((r, 0, "misread", whole, at, at + len(piece)))
+                        at += len(piece)
+                    out.append((row_ids[0], 0, "misread", whole, at, _NO_END))
+                pending = []
+            elif is_break:
+                pending = (pending if k == 0 else []) + [(row_ids[k], _HALF.search(t[:-1]).group())]
             elif t not in usual:
                 out += [(row_ids[k], 0, "misread", token, None, None) for token in lex.asked(t)]
     return out
 
 
 def _noise(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32())
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=[f.split()[0] for f in NOISE_ROWS.split(", ")])
 
 

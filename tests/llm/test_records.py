@@ -141,3 +141,10 @@ def test_rare_words_are_repair_targets(spark):
     assert {tuple(x)[:3] for x in r.found().filter("noise_kind = 'misread'").collect()} == {("contents", 100, 0), ("contents", 101, 0), ("contents", 104, 0), ("word", 1, 0)}
     got = {x.section_id: x.text for x in r.paragraphs().collect()}
     assert (got[101], got[102], got[103], got[104]) == ("the quaternion", "the Tofosada", "the latfice", "the quaternion") and got[100].startswith("every ")
+
+
+def test_a_line_of_one_word_may_break_again():
+    seen = [(4, 0, 2), (4, 0, 2), (4, 0, 0)]
+    out = O._page_noise([[1], [2], [3, 4]], [["class-"], ["if1-"], ["er", "c1assifier"]], seen, [O.BREAK, O.BREAK, O.BODY], LEX)
+    assert [x[0] for x in out if x[2] == "break"] == [1, 2]
+    assert [x[:1] + x[3:] for x in out if x[2] == "misread"] == [(1, "classif1er", 0, 5), (2, "classif1er", 5, 8), (3, "classif1er", 8, O._NO_END), (4, "c1assifier", None, None)]
