@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Suffixes that take a hyphen after a word.
-HYPHEN_SUFFIXES = (
-    "based driven oriented aware agnostic independent dependent first native centric intensive bound safe free proof efficient "
-    "optimized enabled powered ready capable compatible compliant level scale wide specific friendly facing like style"
-).split()
+HYPHEN_SUFFIXES = [
+    "based", "driven", "oriented", "aware", "agnostic", "independent", "dependent", "first", "native", "centric", "intensive", "bound", "safe",
+    "free", "proof", "efficient", "optimized", "enabled", "powered", "ready", "capable", "compatible", "compliant", "level", "scale", "wide",
+    "specific", "friendly", "facing", "like", "style",
+]
 #: Words that mark a section title's font.
 ANCHOR_WORDS = ["abstract", "introduction", "background", "related work", "method", "methodology", "methods", "experiments", "results", "discussion", "conclusion", "conclusions", "references", "acknowledgments", "acknowledgements", "appendix"]
 #: What opens a caption.
@@ -32,117 +33,120 @@ MATH_STRUCTURES = [
 ]
 MATH_STRUCTURE = "|".join(MATH_STRUCTURES)
 #: Unicode mathematics and its LaTeX command, replaced in this order.
-LATEX = dict(
-    line.split(" ", 1)
-    for line in r"""α \alpha
-β \beta
-γ \gamma
-δ \delta
-ε \epsilon
-ζ \zeta
-η \eta
-θ \theta
-ι \iota
-κ \kappa
-λ \lambda
-μ \mu
-ν \nu
-ξ \xi
-π \pi
-ρ \rho
-σ \sigma
-τ \tau
-υ \upsilon
-φ \phi
-χ \chi
-ψ \psi
-ω \omega
-Γ \Gamma
-Δ \Delta
-Θ \Theta
-Λ \Lambda
-Ξ \Xi
-Π \Pi
-Σ \Sigma
-Φ \Phi
-Ψ \Psi
-Ω \Omega
-≤ \leq
-≥ \geq
-≠ \neq
-≈ \approx
-≡ \equiv
-∝ \propto
-≪ \ll
-≫ \gg
-≺ \prec
-≻ \succ
-∈ \in
-∉ \notin
-⊂ \subset
-⊃ \supset
-⊆ \subseteq
-⊇ \supseteq
-∪ \cup
-∩ \cap
-∅ \emptyset
-∑ \sum
-∫ \int
-∏ \prod
-∮ \oint
-√ \sqrt
-∞ \infty
-∂ \partial
-∇ \nabla
-± \pm
-∓ \mp
-× \times
-÷ \div
-· \cdot
-→ \to
-← \leftarrow
-↔ \leftrightarrow
-⇒ \Rightarrow
-⇐ \Leftarrow
-⇔ \Leftrightarrow
-↑ \uparrow
-↓ \downarrow
-∀ \forall
-∃ \exists
-¬ \neg
-∧ \land
-∨ \lor
-⋯ \cdots
-⋮ \vdots
-⋱ \ddots
-⁰ ^{0}
-¹ ^{1}
-² ^{2}
-³ ^{3}
-⁴ ^{4}
-⁵ ^{5}
-⁶ ^{6}
-⁷ ^{7}
-⁸ ^{8}
-⁹ ^{9}
-ⁿ ^{n}
-₀ _{0}
-₁ _{1}
-₂ _{2}
-₃ _{3}
-₄ _{4}
-₅ _{5}
-₆ _{6}
-₇ _{7}
-₈ _{8}
-₉ _{9}
-ₙ _{n}""".split("\n")
-)
+LATEX = {
+    "α": r"\alpha",
+    "β": r"\beta",
+    "γ": r"\gamma",
+    "δ": r"\delta",
+    "ε": r"\epsilon",
+    "ζ": r"\zeta",
+    "η": r"\eta",
+    "θ": r"\theta",
+    "ι": r"\iota",
+    "κ": r"\kappa",
+    "λ": r"\lambda",
+    "μ": r"\mu",
+    "ν": r"\nu",
+    "ξ": r"\xi",
+    "π": r"\pi",
+    "ρ": r"\rho",
+    "σ": r"\sigma",
+    "τ": r"\tau",
+    "υ": r"\upsilon",
+    "φ": r"\phi",
+    "χ": r"\chi",
+    "ψ": r"\psi",
+    "ω": r"\omega",
+    "Γ": r"\Gamma",
+    "Δ": r"\Delta",
+    "Θ": r"\Theta",
+    "Λ": r"\Lambda",
+    "Ξ": r"\Xi",
+    "Π": r"\Pi",
+    "Σ": r"\Sigma",
+    "Φ": r"\Phi",
+    "Ψ": r"\Psi",
+    "Ω": r"\Omega",
+    "≤": r"\leq",
+    "≥": r"\geq",
+    "≠": r"\neq",
+    "≈": r"\approx",
+    "≡": r"\equiv",
+    "∝": r"\propto",
+    "≪": r"\ll",
+    "≫": r"\gg",
+    "≺": r"\prec",
+    "≻": r"\succ",
+    "∈": r"\in",
+    "∉": r"\notin",
+    "⊂": r"\subset",
+    "⊃": r"\supset",
+    "⊆": r"\subseteq",
+    "⊇": r"\supseteq",
+    "∪": r"\cup",
+    "∩": r"\cap",
+    "∅": r"\emptyset",
+    "∑": r"\sum",
+    "∫": r"\int",
+    "∏": r"\prod",
+    "∮": r"\oint",
+    "√": r"\sqrt",
+    "∞": r"\infty",
+    "∂": r"\partial",
+    "∇": r"\nabla",
+    "±": r"\pm",
+    "∓": r"\mp",
+    "×": r"\times",
+    "÷": r"\div",
+    "·": r"\cdot",
+    "→": r"\to",
+    "←": r"\leftarrow",
+    "↔": r"\leftrightarrow",
+    "⇒": r"\Rightarrow",
+    "⇐": r"\Leftarrow",
+    "⇔": r"\Leftrightarrow",
+    "↑": r"\uparrow",
+    "↓": r"\downarrow",
+    "∀": r"\forall",
+    "∃": r"\exists",
+    "¬": r"\neg",
+    "∧": r"\land",
+    "∨": r"\lor",
+    "⋯": r"\cdots",
+    "⋮": r"\vdots",
+    "⋱": r"\ddots",
+    "⁰": r"^{0}",
+    "¹": r"^{1}",
+    "²": r"^{2}",
+    "³": r"^{3}",
+    "⁴": r"^{4}",
+    "⁵": r"^{5}",
+    "⁶": r"^{6}",
+    "⁷": r"^{7}",
+    "⁸": r"^{8}",
+    "⁹": r"^{9}",
+    "ⁿ": r"^{n}",
+    "₀": r"_{0}",
+    "₁": r"_{1}",
+    "₂": r"_{2}",
+    "₃": r"_{3}",
+    "₄": r"_{4}",
+    "₅": r"_{5}",
+    "₆": r"_{6}",
+    "₇": r"_{7}",
+    "₈": r"_{8}",
+    "₉": r"_{9}",
+    "ₙ": r"_{n}",
+}
+
+
+#: The characters of the Unicode property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_white(c: Column) -> Column:
     """Trim all Unicode white space (the built-in trims U+0020 only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def suffix_hyphens(c: Column) -> Column:
@@ -152,7 +156,8 @@ def suffix_hyphens(c: Column) -> Column:
     """
     ordered = sorted(HYPHEN_SUFFIXES, key=len, reverse=True)
     fixed = reduce(lambda x, s: F.regexp_replace(x, rf"(?U)(?<!-)\b([A-Za-z]+){s}\b", f"$1-{s}"), ordered, c)
-    return F.when(c.rlike(rf"[A-Za-z](?:{'|'.join(ordered)})"), fixed).otherwise(c)
+    # the passes change nothing in a text without a compound that is still in one piece
+    return F.when(c.rlike(rf"(?U)(?<!-)\b[A-Za-z]+(?:{'|'.join(ordered)})\b"), fixed).otherwise(c)
 
 
 def sentence_spacing(c: Column) -> Column:
@@ -216,8 +221,13 @@ def trigrams(c: Column) -> Column:
     return F.when(n >= 3, grams).when(n > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Common over all elements of two arrays without repeats; 0 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+
+
 def trigram_jaccard(a: Column, b: Column) -> Column:
-    """Common over all trigrams of two texts; 0 if both are empty."""
-    ta, tb = trigrams(a), trigrams(b)
-    union = F.size(F.array_union(ta, tb))
-    return F.when(union > 0, F.size(F.array_intersect(ta, tb)) / union).otherwise(F.lit(0.0))
+    """``jaccard`` of the trigrams of two texts, each array built once."""
+    return F.transform(F.array(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b"))), lambda s: jaccard(s["a"], s["b"]))[0]

@@ -25,10 +25,10 @@ def lines(words: DataFrame) -> DataFrame:
 
     Words without text and rows repeated as they are do not count; a line
     without text is no line, a block without lines no block, and page numbers
-    keep their gaps.
+    keep their gaps. The one shuffle is by page, which the steps after it share.
     """
     text = X.trim_white(F.col("text"))
-    w = words.select(*LINE, "word_idx", text.alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]).filter("text <> ''").distinct()
+    w = words.select(*LINE, "word_idx", text.alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]).filter("text <> ''").repartition(*PAGE).distinct()
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda s: s["text"]), " ")
     return w.groupBy(*LINE).agg(
         joined.alias("text"), F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("width")).alias("x2"), F.max(F.col("y") + F.col("height")).alias("y2"),
@@ -64,6 +64,11 @@ def page_sizes(pages: DataFrame) -> DataFrame:
     return pages.groupBy(*PAGE).agg(F.max(F.col("width").cast("double")).alias("page_width"), F.max(F.col("height").cast("double")).alias("page_height"))
 
 
+def live_pages(pages: DataFrame, line_rows: DataFrame) -> DataFrame:
+    """The pages that have a line: a page without text is no page of its paper."""
+    return pages.join(line_rows.select(*PAGE).distinct(), PAGE, "left_semi")
+
+
 def text_area(line_rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Per paper the median over its pages of each edge; the first page's size if that is too small or there is none."""
     sizes = page_sizes(pages)
@@ -91,7 +96,7 @@ def without_small_blocks(block_rows: DataFrame, pages: DataFrame, titles: DataFr
     j = (
         block_rows.join(page_sizes(pages), PAGE, "left")
         .join(has, "paper_id", "left")
-        .withColumn("as_title", F.lower(X.strip_first_number(F.col("text"))))
+        .withColumn("as_title", F.lower(X.trim_white(X.strip_first_number(F.col("text")))))
         .join(known.withColumn("is_title", F.lit(True)).withColumnRenamed("known_title", "as_title"), ["paper_id", "as_title"], "left")
     )
     narrow = (F.col("x2") - F.col("x1")) / (F.coalesce("page_width", F.lit(DEFAULT_PAGE[0])) / 1.1) < 0.3
@@ -102,24 +107,27 @@ def without_small_blocks(block_rows: DataFrame, pages: DataFrame, titles: DataFr
 def without_tables(line_rows: DataFrame, boxes: DataFrame, titles: DataFrame) -> DataFrame:
     """Drop lines more than 30 % covered by a table box of their page, except lines that are a known title."""
     known = titles.select("paper_id", F.lower("title").alias("as_title")).distinct()
-    as_title = F.lower(X.strip_title_number(F.regexp_replace(F.col("text"), r"(?U)\s+", " ")))
-    keyed = line_rows.withColumn("as_title", as_title)
-    exempt = keyed.join(known, ["paper_id", "as_title"], "left_semi").drop("as_title")
-    rest = keyed.join(known, ["paper_id", "as_title"], "left_anti").drop("as_title")
+    as_title = F.lower(X.trim_white(X.strip_title_number(F.regexp_replace(F.col("text"), r"(?U)\s+", " "))))
+    keyed = line_rows.withColumn("as_title", as_title).join(known.withColumn("is_title", F.lit(True)), ["paper_id", "as_title"], "left")
     b = boxes.select(*PAGE, *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
-    kept = rest.join(b, [rest[k] == b[k] for k in PAGE] + [G.covered(G.Rect(rest["x1"], rest["y1"], rest["x2"], rest["y2"]), G.Rect.of("t_"))], "left_anti")
-    return exempt.select(*line_rows.columns).unionByName(kept.select(*line_rows.columns))
+    inside = G.covered(G.Rect(keyed["x1"], keyed["y1"], keyed["x2"], keyed["y2"]), G.Rect.of("t_"))
+    kept = keyed.join(b, [keyed[k] == b[k] for k in PAGE] + [keyed["is_title"].isNull() & inside], "left_anti")
+    return kept.select(*line_rows.columns)
 
 
-def column_counts(block_rows: DataFrame, pages: DataFrame, titles: DataFrame) -> DataFrame:
+def column_counts(block_rows: DataFrame, pages: DataFrame, titles: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     """paper_id, number_of_columns: 2 if the mean line width is under two thirds of the page width, else 1.
 
     The mean is over the pages up to the last one with a title, but divided by
     the count of all pages; an emptied page among them makes it not a number,
     and the paper keeps one column, as does a paper without titles.
-    ``titles``: paper_id, page_number.
+    ``titles``: paper_id, page_number; ``widths``: paper_id, page_width of the
+    document, where it is not that of the first page.
     """
     sizes = page_sizes(pages)
+    if widths is not None:
+        own = widths.select("paper_id", F.col("page_width").cast("double").alias("own_width"))
+        sizes = sizes.join(own, "paper_id", "left").withColumn("page_width", F.coalesce("own_width", "page_width")).drop("own_width")
     last = titles.groupBy("paper_id").agg(F.max("page_number").alias("last_page"))
     means = block_rows.groupBy(*PAGE).agg(F.avg("line_width").alias("m"))
     j = sizes.join(last, "paper_id").join(means, PAGE, "left")

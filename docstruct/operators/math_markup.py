@@ -15,7 +15,7 @@ from docstruct.functions import text as X
 
 _CHAR = re.compile(f"[{X.MATH_CHARS}]")
 _STRUCTURE = re.compile(X.MATH_STRUCTURE)
-#: Runs with a symbol of mathematics; false alarms; words that speak for mathematics.
+#: Runs with a symbol of mathematics, and false alarms.
 _SYMBOLS = r"∀-⋿⨀-⫿α-ωΑ-Ω=<>±×÷→←↔⇒⇐⇔|/^_{}()\[\]"
 _RUN = re.compile(rf"(?:(?:[a-zA-Z0-9]++\s*+)?[{_SYMBOLS}](?:\s*+[a-zA-Z0-9\^_{{}}()\[\]]++)*+)++")
 _FALSE = re.compile(
@@ -24,6 +24,7 @@ _FALSE = re.compile(
     r"|\b(?:in|see|part|method|step|item|case|type|group)\s*\(\s*[a-zA-Z]\s*\)"
     r"|(?i:(?:section|eq|equation|fig|figure|table|ref|chapter|appendix)\s*[.(\[]\s*\d)"
 )
+#: Words that speak for mathematics.
 _KEYWORDS = [
     "where", "given", "such that", "let ", "define", "denote", "equation", "formula", "compute", "calculate", "minimize", "maximize", "optimal", "converge",
     "theorem", "lemma", "proof", "corollary", "ratio", "element", "matrix", "vector", "scalar", "function", "variable", "coefficient", "parameter",
@@ -166,8 +167,10 @@ def align_paragraphs(texts: DataFrame, block_rows: DataFrame) -> DataFrame:
     meet only within a page. Result: the block's keys and math_text.
     """
     paras = texts.select("paper_id", "page_number", F.posexplode(F.split("text", "\n\n")).alias("pos", "p")).withColumn("p", X.trim_white(F.col("p"))).filter("p <> ''").withColumn("pn", X.normalize_for_matching(F.col("p")))
-    b = block_rows.withColumn("bn", X.normalize_for_matching(F.col("text")))
-    j = b.join(paras, ["paper_id", "page_number"]).withColumn("score", X.trigram_jaccard(F.col("pn"), F.col("bn")))
+    # the trigrams of a text are built once, before it meets the others of its page
+    paras = paras.withColumn("pg", X.trigrams(F.col("pn")))
+    b = block_rows.withColumn("bn", X.normalize_for_matching(F.col("text"))).withColumn("bg", X.trigrams(F.col("bn")))
+    j = b.join(paras, ["paper_id", "page_number"]).withColumn("score", X.jaccard(F.col("pg"), F.col("bg"))).drop("pg", "bg")
     # the window search only matters where the plain score is too low: its score is taken as the bound
     near = j.filter(F.col("score") >= LEAST_ALIKE)
     far = j.filter(F.col("score") < LEAST_ALIKE).withColumn("span", aligned(F.col("bn"), F.col("pn"))).filter(F.col("span.start").isNotNull()).withColumn("score", F.lit(LEAST_ALIKE)).drop("span")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from docstruct.functions import geometry as G
 from docstruct.functions import text as X
 from docstruct.operators import fonts, layout, math_markup, references, sections
-from docstruct.plans.corpus import Corpus, font_frames
-from docstruct.scale import spread, table
+from docstruct.plans.corpus import Corpus
+from docstruct.scale import distinct_rows, table
 from docstruct.sinks import export
 from docstruct.sources import formats
 from docstruct.streaming.paragraphs import paragraph_rows
@@ -77,28 +77,34 @@ WORDS = f"w AS (SELECT DISTINCT paper_id, page_number, block_idx, line_idx, word
 LINES = WORDS + ", ln AS (SELECT paper_id, page_number, block_idx, line_idx, string_agg(text, ' ' ORDER BY word_idx, text) AS text, min(x) x1, min(y) y1, max(x + width) x2, max(y + height) y2, max(height) font_size, count(*) n_words FROM w GROUP BY ALL)"
 FOLD = "regexp_replace(regexp_replace(string_agg(text, chr(10) ORDER BY line_idx), '-+\\n', '', 'g'), '\\n', ' ', 'g')"
 BLOCKS = LINES + f", bk AS (SELECT paper_id, page_number, block_idx, {white(suffix_sql(white(FOLD)))} AS text, min(x1) x1, min(y1) y1, max(x2) x2, max(y2) y2, count(*) n_lines, avg(x2 - x1) line_width, max(font_size) font_size FROM ln GROUP BY ALL)"
-SIZES = ", sz AS (SELECT paper_id, page_number, max(CAST(width AS DOUBLE)) page_width, max(CAST(height AS DOUBLE)) page_height FROM paper_pages GROUP BY ALL)"
+# lines as real papers have them: numbered titles, anchor words, a bare number; text by page of the lines in a large font
+_HEADS = ["Abstract", "1. Introduction", "2. ", "3 ", "42", "7. References"]
+_PICK = "CASE WHEN font_size <= 12 THEN text WHEN page_number % 6 IN (2, 3) THEN CASE page_number % 6 WHEN 2 THEN '2. ' ELSE '3 ' END || text WHEN page_number % 6 = 5 AND paper_id % 2 = 0 THEN '7. References' WHEN page_number % 6 = 4 THEN '42' WHEN page_number % 6 = 1 THEN CASE WHEN paper_id % 3 = 0 THEN 'Abstract' ELSE '1. Introduction' END ELSE text END"
+HEADED = LINES.replace(", ln AS (", ", ln0 AS (") + f", ln AS (SELECT paper_id, page_number, block_idx, line_idx, {_PICK} AS text, x1, y1, x2, y2, font_size, n_words FROM ln0)"
+HEADED_BLOCKS = HEADED + BLOCKS.removeprefix(LINES)
+SIZES = ", sz AS (SELECT paper_id, page_number, max(CAST(width AS DOUBLE)) page_width, max(CAST(height AS DOUBLE)) page_height FROM paper_pages SEMI JOIN (SELECT DISTINCT paper_id, page_number FROM ln) q USING (paper_id, page_number) GROUP BY ALL)"
 EXTENTS = ", ex AS (SELECT paper_id, page_number, min(y1) top, max(y2) bottom, min(x1) \"left\", max(x2) \"right\" FROM ln GROUP BY ALL)"
 AREA = SIZES + EXTENTS + """, md AS (SELECT paper_id, median("left") l, median(top) t, median("right") r, median(bottom) b FROM ex GROUP BY ALL),
 fp AS (SELECT paper_id, min_by(page_width, page_number) w, min_by(page_height, page_number) h FROM sz GROUP BY ALL),
 ar0 AS (SELECT coalesce(fp.paper_id, md.paper_id) paper_id, coalesce(w, 595.0) w, coalesce(h, 842.0) h, l, t, r, b FROM fp FULL JOIN md ON fp.paper_id = md.paper_id),
 ar AS (SELECT paper_id, CASE WHEN bad THEN 0.0 ELSE l END ax1, CASE WHEN bad THEN 0.0 ELSE t END ay1, CASE WHEN bad THEN w ELSE r END ax2, CASE WHEN bad THEN h ELSE b END ay2 FROM (SELECT *, (t IS NULL OR b - t < 0.2 * h OR r - l < 0.2 * w) bad FROM ar0))"""
-FONTS = LINES + """, tx AS (SELECT paper_id, page_number, (CAST(page_number AS BIGINT) * 100000 + block_idx) * 10000 + line_idx AS ord, CAST(round(font_size * 10) AS INTEGER) font_id, text FROM ln),
-fs AS (SELECT DISTINCT paper_id, CAST(round(font_size * 10) AS INTEGER) font_id, round(font_size * 10) / 10 AS size FROM ln)"""
+_KIND = "(page_number + block_idx) % 3"
+FONTS = HEADED + f""", tx AS (SELECT paper_id, page_number, (CAST(page_number AS BIGINT) * 100000 + block_idx) * 10000 + line_idx AS ord, CAST(round(font_size * 10) AS INTEGER) * 10 + {_KIND} AS font_id, text FROM ln),
+fs AS (SELECT DISTINCT paper_id, CAST(round(font_size * 10) AS INTEGER) * 10 + {_KIND} AS font_id, CASE WHEN font_size > 12 AND {_KIND} = 2 THEN font_size + 0.5 ELSE font_size END AS size, ['Times', 'Times-Bold', 'Arial Black'][{_KIND} + 1] AS family FROM ln)"""
 USAGE = FONTS + ", us AS (SELECT paper_id, font_id, CAST(sum(length(text)) AS BIGINT) n_chars FROM tx GROUP BY ALL)"
 BODY = USAGE + ", bf AS (SELECT u.paper_id, u.font_id body_font_id, coalesce(fs.size, 0.0) body_size FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY n_chars DESC, font_id) k FROM us) u LEFT JOIN fs ON u.paper_id = fs.paper_id AND u.font_id = fs.font_id WHERE k = 1)"
 ANCHOR_LIST = "(" + ", ".join(f"'{w}'" for w in X.ANCHOR_WORDS) + ")"
 NUMBER = rf"regexp_replace(%s, '^\p{{Nd}}+\.?[{S}]*', '')"
 ANCHORS = BODY + f", an AS (SELECT DISTINCT paper_id, font_id FROM tx WHERE lower(text) IN {ANCHOR_LIST} OR {NUMBER % 'lower(text)'} IN {ANCHOR_LIST})"
-SCORES = ANCHORS + ", sc AS (SELECT fs.paper_id, fs.font_id, fs.size, body_size, an.font_id IS NOT NULL is_anchor, CASE WHEN body_size > 0 AND size > body_size THEN 1.0 WHEN body_size > 0 AND size < body_size THEN -1.0 ELSE 0.0 END + CASE WHEN an.font_id IS NOT NULL THEN 0.5 ELSE 0.0 END AS score FROM fs JOIN bf USING (paper_id) LEFT JOIN an ON fs.paper_id = an.paper_id AND fs.font_id = an.font_id)"
+SCORES = ANCHORS + ", sc AS (SELECT fs.paper_id, fs.font_id, fs.size, body_size, an.font_id IS NOT NULL is_anchor, CASE WHEN body_size > 0 AND size > body_size THEN 1.0 WHEN body_size > 0 AND size < body_size THEN -1.0 ELSE 0.0 END + CASE WHEN contains(lower(family), 'bold') OR contains(lower(family), 'black') THEN 0.3 ELSE 0.0 END + CASE WHEN an.font_id IS NOT NULL THEN 0.5 ELSE 0.0 END AS score FROM fs JOIN bf USING (paper_id) LEFT JOIN an ON fs.paper_id = an.paper_id AND fs.font_id = an.font_id)"
 TFONTS = SCORES + ", tf AS (SELECT paper_id, font_id FROM (SELECT *, min(CASE WHEN is_anchor AND size > body_size THEN size END) OVER (PARTITION BY paper_id) least FROM sc WHERE score >= 1.0) WHERE least IS NULL OR abs(size - least) < 0.1)"
 TITLES = TFONTS + f""", pe AS (SELECT tx.paper_id, page_number, ord, {NUMBER % 'text'} AS title FROM tx JOIN tf USING (paper_id, font_id) WHERE NOT regexp_matches(text, '^\\p{{Nd}}+$')),
 ab AS (SELECT paper_id, min(ord) abstract_ord FROM tx WHERE lower(text) = 'abstract' GROUP BY ALL),
 pf AS (SELECT pe.*, abstract_ord, min(CASE WHEN lower(title) IN {ANCHOR_LIST} THEN ord END) OVER (PARTITION BY pe.paper_id) anchor_ord FROM pe LEFT JOIN ab USING (paper_id)),
 ti AS (SELECT paper_id, page_number, ord, title FROM pf WHERE ord >= coalesce(abstract_ord, anchor_ord)
   UNION ALL SELECT DISTINCT paper_id, 1, -1, 'Abstract' FROM pf WHERE abstract_ord IS NULL AND ord = anchor_ord AND page_number > 1)"""
-# every large-font line is a title of its page, whatever the paper's first title is
-BIG = ", bt AS (SELECT DISTINCT paper_id, page_number, text AS title FROM ln WHERE font_size > 12)"
+# every large-font line is a title of its page, without its number
+BIG = f", bt AS (SELECT DISTINCT paper_id, page_number, {NUMBER % 'text'} AS title FROM ln WHERE font_size > 12)"
 
 
 def _lines_of_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +122,22 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _big_titles(line_rows: DataFrame) -> DataFrame:
-    return line_rows.filter("font_size > 12").select("paper_id", "page_number", F.col("text").alias("title")).distinct()
+    return line_rows.filter("font_size > 12").select("paper_id", "page_number", X.strip_title_number(F.col("text")).alias("title")).distinct()
+
+
+def _headed(spark: SparkSession, d: str) -> DataFrame:
+    """The lines with titles as real papers have them; see ``_PICK``."""
+    return _lines(spark, d).withColumn("text", F.expr(_PICK))
+
+
+def _fonts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Texts and fonts of the headed lines, each size in three families."""
+    rows, kind = _headed(spark, d), (F.col("page_number") + F.col("block_idx")) % 3
+    font = (F.round(F.col("font_size") * 10).cast("int") * 10 + kind).cast("int").alias("font_id")
+    size = F.when((F.col("font_size") > 12) & (kind == 2), F.col("font_size") + 0.5).otherwise(F.col("font_size"))
+    family = F.element_at(F.array(F.lit("Times"), F.lit("Times-Bold"), F.lit("Arial Black")), kind.cast("int") + 1)
+    order = (F.col("page_number").cast("long") * 100_000 + F.col("block_idx")) * 10_000 + F.col("line_idx")
+    return rows.select("paper_id", "page_number", order.alias("ord"), font, "text"), rows.select("paper_id", font, size.alias("size"), family.alias("family")).distinct()
 
 
 def _boxes(line_rows: DataFrame) -> DataFrame:
@@ -129,10 +150,8 @@ BOXES = ", bx AS (SELECT paper_id, page_number, x1, y1, x2, y2 FROM bk WHERE NOT
 
 
 def _corpus(spark: SparkSession, d: str) -> Corpus:
-    words, pages = table(spark, d, "words"), table(spark, d, "paper_pages")
-    c = Corpus.from_layout(words, pages)
-    big = _big_titles(c.lines)
-    return Corpus(words, pages, big.withColumn("ord", F.col("page_number").cast("long")), c.lines, c.blocks).text_area()
+    titles = lambda rows: _big_titles(rows).withColumn("ord", F.col("page_number").cast("long"))
+    return Corpus.from_lines(_headed(spark, d), table(spark, d, "paper_pages"), titles).text_area()
 
 
 # text ----------------------------------------------------------------------------------------------------------
@@ -209,13 +228,13 @@ _BIB = "b AS (SELECT DISTINCT ref_id, title, raw_text FROM bib_entries WHERE tit
 
 @query(f"WITH {_BIB} SELECT ref_id, md5(raw_text) AS h, round(len(list_intersect(a, c)) / len(list_distinct(list_concat(a, c))), 6) AS jaccard FROM (SELECT ref_id, raw_text, {trigram_sql('title')} AS a, {trigram_sql('raw_text')} AS c FROM b)")
 def trigram_jaccard(spark, d):
-    b = table(spark, d, "bib_entries").select("ref_id", "title", "raw_text").dropna().distinct()
+    b = distinct_rows(table(spark, d, "bib_entries").select("ref_id", "title", "raw_text").dropna(), "ref_id")
     return b.select("ref_id", F.md5("raw_text").alias("h"), F.round(X.trigram_jaccard(F.col("title"), F.col("raw_text")), 6).alias("jaccard"))
 
 
 @query()
 def best_alignment(spark, d):
-    b = spread(table(spark, d, "bib_entries").select("ref_id", "title", "raw_text").dropna()).distinct()
+    b = distinct_rows(table(spark, d, "bib_entries").select("ref_id", "title", "raw_text").dropna(), "ref_id")
     return b.select("ref_id", math_markup.aligned(F.col("title"), F.col("raw_text")).alias("s")).select("ref_id", "s.start", "s.end")
 
 
@@ -275,12 +294,12 @@ def rect_overlap_join(spark, d):
 
 
 _COVER = f"((least(a.x2, b.x2) - greatest(a.x1, b.x1)) > 0 AND (least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0 AND {_IX} / {_AA} > 0.3)"
-_AS_TITLE = f"lower({NUMBER % one_blank('a.text')})"
+_AS_TITLE = f"lower({white(NUMBER % one_blank('a.text'))})"
 
 
-@query(f"WITH {BLOCKS}{BOXES}{BIG} SELECT a.paper_id, a.page_number, a.block_idx, a.line_idx FROM ln a WHERE EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = a.paper_id AND lower(bt.title) = {_AS_TITLE}) OR NOT EXISTS (SELECT 1 FROM bx b WHERE b.paper_id = a.paper_id AND b.page_number = a.page_number AND {_COVER})")
+@query(f"WITH {HEADED_BLOCKS}{BOXES}{BIG} SELECT a.paper_id, a.page_number, a.block_idx, a.line_idx FROM ln a WHERE EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = a.paper_id AND lower(bt.title) = {_AS_TITLE}) OR NOT EXISTS (SELECT 1 FROM bx b WHERE b.paper_id = a.paper_id AND b.page_number = a.page_number AND {_COVER})")
 def rect_cover_antijoin(spark, d):
-    rows = _lines(spark, d)
+    rows = _headed(spark, d)
     return layout.without_tables(rows, _boxes(rows), _big_titles(rows)).select("paper_id", "page_number", "block_idx", "line_idx")
 
 
@@ -291,7 +310,8 @@ def page_extents(spark, d):
 
 @query(f"WITH {LINES}{AREA} SELECT * FROM ar")
 def text_area(spark, d):
-    return layout.text_area(_lines(spark, d), table(spark, d, "paper_pages"))
+    rows = _lines(spark, d)
+    return layout.text_area(rows, layout.live_pages(table(spark, d, "paper_pages"), rows))
 
 
 _IOU_AREA = "CASE WHEN least(ax2, x2) - greatest(ax1, x1) <= 0 OR least(ay2, y2) - greatest(ay1, y1) <= 0 THEN 0 ELSE (least(ax2, x2) - greatest(ax1, x1)) * (least(ay2, y2) - greatest(ay1, y1)) / ((ax2 - ax1) * (ay2 - ay1) + (x2 - x1) * (y2 - y1) - (least(ax2, x2) - greatest(ax1, x1)) * (least(ay2, y2) - greatest(ay1, y1))) END"
@@ -304,10 +324,10 @@ def text_area_filter(spark, d):
     return layout.in_text_area(layout.blocks(rows), layout.text_area(rows, table(spark, d, "paper_pages"))).select("paper_id", "page_number", "block_idx")
 
 
-SMALL = BIG + r""", sb AS (SELECT a.* FROM ia a LEFT JOIN sz ON a.paper_id = sz.paper_id AND a.page_number = sz.page_number WHERE NOT EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = a.paper_id) OR EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = a.paper_id AND lower(bt.title) = lower(regexp_replace(a.text, '\p{Nd}+\.', ''))) OR NOT ((x2 - x1) / (coalesce(page_width, 595.0) / 1.1) < 0.3 AND n_lines < 4))"""
+SMALL = BIG + r""", sb AS (SELECT a.* FROM ia a LEFT JOIN sz ON a.paper_id = sz.paper_id AND a.page_number = sz.page_number WHERE NOT EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = a.paper_id) OR EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = a.paper_id AND lower(bt.title) = lower("""+white(r"regexp_replace(a.text, '\p{Nd}+\.', '')")+r""")) OR NOT ((x2 - x1) / (coalesce(page_width, 595.0) / 1.1) < 0.3 AND n_lines < 4))"""
 
 
-@query(f"WITH {BLOCKS}{AREA}{IN_AREA}{SMALL} SELECT paper_id, page_number, block_idx FROM sb")
+@query(f"WITH {HEADED_BLOCKS}{AREA}{IN_AREA}{SMALL} SELECT paper_id, page_number, block_idx FROM sb")
 def small_block_filter(spark, d):
     return _corpus(spark, d).blocks.select("paper_id", "page_number", "block_idx")
 
@@ -318,7 +338,7 @@ pc AS (SELECT paper_id, sum(u) / count(*) lw, min_by(page_width, page_number) pw
 nc AS (SELECT paper_id, CASE WHEN NOT isnan(lw) AND lw < pw / 1.5 THEN 2 ELSE 1 END number_of_columns, pw FROM pc UNION ALL SELECT paper_id, 1, min_by(page_width, page_number) FROM sz WHERE paper_id NOT IN (SELECT paper_id FROM pc) GROUP BY paper_id)"""
 
 
-@query(f"WITH {BLOCKS}{AREA}{IN_AREA}{SMALL}{COLUMNS} SELECT paper_id, number_of_columns FROM nc")
+@query(f"WITH {HEADED_BLOCKS}{AREA}{IN_AREA}{SMALL}{COLUMNS} SELECT paper_id, number_of_columns FROM nc")
 def column_detect(spark, d):
     c = _corpus(spark, d)
     return layout.column_counts(c.blocks, c.pages, c.titles).select("paper_id", "number_of_columns")
@@ -327,7 +347,7 @@ def column_detect(spark, d):
 PLACED = ", pl AS (SELECT sb.*, row_number() OVER (PARTITION BY sb.paper_id, sb.page_number ORDER BY CASE WHEN number_of_columns = 2 AND x1 > pw / 2.2 THEN 1 ELSE 0 END, block_idx) - 1 AS place FROM sb JOIN nc USING (paper_id))"
 
 
-@query(f"WITH {BLOCKS}{AREA}{IN_AREA}{SMALL}{COLUMNS}{PLACED} SELECT paper_id, page_number, block_idx, CAST(place AS INTEGER) AS place FROM pl")
+@query(f"WITH {HEADED_BLOCKS}{AREA}{IN_AREA}{SMALL}{COLUMNS}{PLACED} SELECT paper_id, page_number, block_idx, CAST(place AS INTEGER) AS place FROM pl")
 def column_order(spark, d):
     c = _corpus(spark, d)
     return layout.column_order(c.blocks, layout.column_counts(c.blocks, c.pages, c.titles)).select("paper_id", "page_number", "block_idx", "place")
@@ -351,41 +371,41 @@ def page_density(spark, d):
 # fonts -----------------------------------------------------------------------------------------------------------
 @query(f"WITH {USAGE} SELECT * FROM us")
 def font_usage(spark, d):
-    return fonts.font_usage(font_frames(_lines(spark, d))[0])
+    return fonts.font_usage(_fonts(spark, d)[0])
 
 
 @query(f"WITH {BODY} SELECT * FROM bf")
 def body_font(spark, d):
-    return fonts.body_font(*font_frames(_lines(spark, d)))
+    return fonts.body_font(*_fonts(spark, d))
 
 
 @query(f"WITH {ANCHORS} SELECT * FROM an")
 def anchor_fonts(spark, d):
-    return fonts.anchor_fonts(font_frames(_lines(spark, d))[0])
+    return fonts.anchor_fonts(_fonts(spark, d)[0])
 
 
 @query(f"WITH {SCORES} SELECT paper_id, font_id, size, is_anchor, CAST(score AS DOUBLE) AS score FROM sc")
 def font_scores(spark, d):
-    return fonts.font_scores(*font_frames(_lines(spark, d))).drop("body_size")
+    return fonts.font_scores(*_fonts(spark, d)).drop("body_size")
 
 
 @query(f"WITH {TFONTS} SELECT * FROM tf")
 def title_fonts(spark, d):
-    return fonts.title_fonts(*font_frames(_lines(spark, d)))
+    return fonts.title_fonts(*_fonts(spark, d))
 
 
 @query(f"WITH {TITLES} SELECT paper_id, CAST(page_number AS INTEGER) AS page_number, CAST(ord AS BIGINT) AS ord, title FROM ti")
 def section_titles(spark, d):
-    return fonts.section_titles(*font_frames(_lines(spark, d)))
+    return fonts.section_titles(*_fonts(spark, d))
 
 
 # sections --------------------------------------------------------------------------------------------------------
 ASSIGNED = rf""", la AS (SELECT ln.paper_id, ln.page_number, pl.place, line_idx, ln.text FROM ln JOIN pl ON ln.paper_id = pl.paper_id AND ln.page_number = pl.page_number AND ln.block_idx = pl.block_idx),
-lm AS (SELECT la.*, CASE WHEN EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = la.paper_id AND bt.page_number = la.page_number AND lower(bt.title) = lower({white("regexp_replace(la.text, '\\p{Nd}+\\.', '')")})) THEN text END AS mark FROM la),
+lm AS (SELECT la.*, CASE WHEN EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = la.paper_id AND bt.page_number = la.page_number AND lower(bt.title) = lower({white("regexp_replace(la.text, '\\p{Nd}+\\.', '')")})) THEN {white("regexp_replace(la.text, '\\p{Nd}+\\.', '')")} END AS mark FROM la),
 ls AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY page_number, place, line_idx ROWS UNBOUNDED PRECEDING) state FROM lm),
 lb AS (SELECT paper_id, page_number, place, arg_max_null(state, line_idx) state FROM ls GROUP BY ALL),
 ob AS (SELECT pl.paper_id, CAST(pl.page_number AS BIGINT) * 1000000 + pl.place AS ord, pl.page_number, pl.block_idx, pl.text, CASE WHEN NOT EXISTS (SELECT 1 FROM bt WHERE bt.paper_id = pl.paper_id) THEN 'Content' ELSE coalesce(state, 'Abstract') END AS section, CASE WHEN regexp_matches({white('pl.text')}, '{CAPTION_SQL}') THEN 'Caption' ELSE 'Body' END AS block_type FROM pl JOIN lb USING (paper_id, page_number, place))"""
-ORDERED = f"{BLOCKS}{AREA}{IN_AREA}{SMALL}{COLUMNS}{PLACED}{ASSIGNED}"
+ORDERED = f"{HEADED_BLOCKS}{AREA}{IN_AREA}{SMALL}{COLUMNS}{PLACED}{ASSIGNED}"
 
 
 @query(f"WITH {ORDERED} SELECT paper_id, ord, page_number, block_idx, section, block_type FROM ob")

@@ -39,14 +39,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from the written rows.
 
-    Columnar and compressed, and it outlives any executor. The tables of a
-    session are removed when its driver ends.
+    Columnar and compressed, and it outlives any executor. The tables are removed
+    by ``free`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/docstruct-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_remove_written)
+        atexit.register(free)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,28 +54,38 @@ def cut(df: DataFrame) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def free() -> None:
+    """Remove the tables ``cut`` wrote; results made of them must be done with."""
+    while _written:
+        spark, path = _written.pop()
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+        except Exception:  # noqa: BLE001 - the session may be gone already, the others still count
+            continue
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on as many partitions as there are cores, if it reads files in less than half as many.
+    """``df`` on as many partitions as there are cores, if it has less than half as many.
 
     For steps that are long per row: a small table in one file would otherwise be
-    one task. A plan with an exchange of its own is left as it is.
+    one task. For readings of files and what is made of them without a shuffle.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(word in plan for word in ("Join ", "Aggregate ", "Repartition", "Sort ", "Window ", "Distinct")):
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
 
 
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """``df`` without repeated rows, on at least as many partitions as there are cores.
+
+    The one shuffle is by ``key``, which all columns of equal rows share, and is
+    not coalesced, so steps that are long per row stay on all cores.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key).distinct()
+
+
 def config_rows(df: DataFrame, most: int = MAX_CONFIG_ROWS) -> list:
     """All rows of a table that does not grow; raises if it has more than ``most`` rows."""
     rows = df.limit(most + 1).collect()

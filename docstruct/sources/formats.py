@@ -54,6 +54,16 @@ def info_map(c: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), last(k)["value"].alias("value"))))
 
 
+def checked_info(c: Column) -> Column:
+    """The info text; the query fails if the tool printed nothing."""
+    return F.when(c.isNull() | (F.trim(c) == ""), F.raise_error(F.lit("the info tool printed nothing"))).otherwise(c)
+
+
+def paper_of(path: Column) -> Column:
+    """The name of a file without folder and ending: the key its paper has in all its texts."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+
+
 def figure_page(path: Column) -> Column:
     """The page number at the end of a page image's name."""
     return F.try_to_number(F.regexp_extract(path, r"-([0-9]+)\.jpe?g$", 1), F.lit("99999")).cast("int")
@@ -105,6 +115,23 @@ def layout_words(texts: DataFrame) -> DataFrame:
     return texts.select("path", "text").mapInPandas(run, WORD_ROWS)
 
 
+def layout_pages(texts: DataFrame) -> DataFrame:
+    """paper_id, page_number, width, height of every page of layout XHTML, those without words too."""
+    tags = F.transform(F.regexp_extract_all("text", F.lit(r"(?i)<page\b[^>]*>"), F.lit(0)), lambda t, i: F.struct((i + 1).alias("page_number"), *[F.regexp_extract(t, rf"(?i)\b{k}\s*=\s*[\"']([^\"']*)", 1).try_cast("double").alias(k) for k in ("width", "height")]))
+    return texts.select(paper_of(F.col("path")).alias("paper_id"), F.inline(tags))
+
+
+def paper_words(texts: DataFrame) -> DataFrame:
+    """``layout_words`` with paper_id, the columns of a words table."""
+    return layout_words(texts).select(paper_of(F.col("path")).alias("paper_id"), "page_number", "block_idx", "line_idx", "word_idx", "text", "x", "y", "width", "height")
+
+
+def font_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts (paper_id, page_number, ord, font_id, text) and the definitions (paper_id, ord, font_id, size, family) of font XML."""
+    scan = font_xml(texts).withColumn("paper_id", paper_of(F.col("path")))
+    return scan.filter("kind = 'text'").select("paper_id", "page_number", "ord", "font_id", "text"), scan.filter("kind = 'font'").select("paper_id", "ord", "font_id", "size", "family")
+
+
 FONT_ROWS = "path string, ord int, page_number int, kind string, font_id int, size double, family string, text string"
 _FONT_TAG = re.compile(r"<page\b([^>]*)>|<fontspec\b([^>]*?)/?>|<text\b([^>]*)>(.*?)</text>", re.I | re.S)
 

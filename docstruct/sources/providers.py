@@ -7,9 +7,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A model: prompt and text (or image bytes) to an answer.
-Model = Callable[[str, str | bytes], str]
+#: Fixed value: the model asked if the environment names none.
+DEFAULT_MODEL = "gpt-5.2"
+#: A model: prompt and content (a text, an image, or a list of images) to an answer.
+Model = Callable[[str, object], str]
 
 
 def model_available() -> bool:
@@ -17,22 +21,29 @@ def model_available() -> bool:
     return "OPENAI_API_KEY" in os.environ
 
 
-def model_id(default: str = "gpt-4o") -> str:
+def model_id(default: str = DEFAULT_MODEL) -> str:
     return os.environ.get("OPENAI_API_MODEL", default)
 
 
-def ask(rows: DataFrame, key: str, text: str, prompt: str, model: Model, parallel: int = 5) -> DataFrame:
-    """``key``, answer: the model's answer for every row, on ``parallel`` partitions; a failing call gives an empty answer."""
-    kind = rows.schema[key].dataType.simpleString()
+def ask(rows: DataFrame, keys: list[str], content: str, prompt: str, model: Model, parallel: int = 5) -> DataFrame:
+    """``keys``, answer: the model's answer for every row, on ``parallel`` partitions; a failing call gives an empty answer.
+
+    A row whose content is null or empty is not asked and gives no answer row.
+    """
+    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    kind = rows.schema[content].dataType
+    there = F.size(content) > 0 if isinstance(kind, T.ArrayType) else F.length(content) > 0
+    if isinstance(kind, T.StringType):
+        there = F.length(F.trim(content)) > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             answers = []
-            for t in b[text]:
+            for t in b[content]:
                 try:
                     answers.append(model(prompt, t) or "")
                 except Exception:  # noqa: BLE001 - an outside service may fail in any way
                     answers.append("")
-            yield pd.DataFrame({key: b[key], "answer": answers})
+            yield b[keys].assign(answer=answers)
 
-    return rows.select(key, text).repartition(parallel).mapInPandas(run, f"{key} {kind}, answer string")
+    return rows.filter(there).select(*keys, content).repartition(parallel).mapInPandas(run, ", ".join([*kinds, "answer string"]))
