@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -27,10 +26,12 @@ from pyspark.sql import types as T
 from docstruct.scale import cut, spread
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-_SLOTS = 1 << 20
-#: Rows two of which may be compared in one bucket; larger buckets are parted, then split into blocks.
-BUCKET_ROWS = 8_000
-BLOCK_ROWS = 16_000
+#: Words whose exact counts every task has: all that make up this share of all words. It bounds the list by its inverse.
+LISTED = 1 << 22
+#: Rows two of which may be compared in one bucket; larger buckets are parted by a second order, then split into blocks.
+BUCKET_ROWS, BLOCK_ROWS = 8_000, 16_000
+#: Copies of one text that are written out together; more are parted.
+CHUNK_ROWS = 1_000
 #: Fixed values of the signature filters: how many bits each has.
 _SIGN_BITS, _ORDER_BITS = 63, 31
 
@@ -46,7 +47,7 @@ def least_common(sizes, num: int, den: int):
 
 
 class _Hashes(dict):
-    """Word -> (63-bit hash, slot of the count table); dropped when it grows beyond a bound."""
+    """Word -> 63-bit hash; dropped when it grows beyond a bound."""
 
     def __missing__(self, w: str):
         if len(self) > 500_000:
@@ -72,7 +73,8 @@ class Sets:
         self.rows = np.flatnonzero(self.n)  # texts without a word are left out
         self.n = self.n[self.rows]
         self.kind = np.array(kinds, np.uint64)[self.rows]
-        self.h = np.array(flat, np.uint64)
+        # words of different kinds of text are different words
+        self.h = np.array(flat, np.uint64) ^ np.repeat(self.kind * np.uint64(0x51ED2701), self.n)
         self.start = np.r_[0, np.cumsum(self.n)[:-1]].astype(np.int64) if len(self.n) else np.zeros(0, np.int64)
         one = np.uint64(1)
         if len(self.n):
@@ -82,15 +84,21 @@ class Sets:
         else:
             self.sid = self.sign = np.zeros(0, np.uint64)
 
-    def slots(self) -> np.ndarray:
-        """The slot of each word in the table of counts; the kinds of text count apart."""
-        kinds = np.repeat(self.kind, self.n) * np.uint64(0x51ED27)
-        return ((self.h ^ kinds) & np.uint64(_SLOTS - 1)).astype(np.int64)
-
-    def prefixes(self, counts: np.ndarray, num: int, den: int):
+    def fresh(self, done: set[int]) -> np.ndarray:
+        """Which sets come for the first time, as far as ``done`` remembers."""
+        if len(done) > 1_000_000:
+            done.clear()
+        out = np.zeros(len(self.n), bool)
+        for k, s in enumerate(self.sid.tolist()):
+            if s not in done:
+                done.add(s)
+                out[k] = True
+        return out
+
+    def prefixes(self, counts: "WordCounts", num: int, den: int):
         """Words in the order of their rarity, set by set: set index, hash, count, rank; the prefix length of each set; the order filters."""
         owner = np.repeat(np.arange(len(self.n)), self.n)
-        count = counts[self.slots()].astype(np.int64)
+        count = counts.of(self.h)
         order = np.argsort(np.minimum(count, (1 << 20) - 1).astype(np.uint64) << np.uint64(44) | self.h >> np.uint64(19), kind="stable")
         order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
         h, count = self.h[order], count[order]
@@ -112,10 +120,29 @@ class Sets:
         return owner, h, count, rank, p, filters, fronts[0]
 
 
-def _pairs_in_buckets(key, sid, np_, sign, order, num: int, den: int):
-    """Pairs (indexes) of rows with equal key that pass all filters; rows are sorted by key."""
-    n = (np_ >> 20).astype(np.int64)
-    pos = (np_ & 0xFFFFF).astype(np.int64)
+class WordCounts:
+    """The exact counts of the more frequent words; any other word is in at most ``below`` texts."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, below: int):
+        order = np.argsort(words)
+        self.words, self.counts, self.below = words[order], counts[order], below
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(h), self.below, np.int64)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.counts[at], self.below).astype(np.int64)
+
+
+#: A size from which a row does not tell its set's size; such rows pass the filters of size.
+_LARGE = 0xFFFF
+
+
+def _pairs_in_buckets(place, sid, sign, order, num: int, den: int):
+    """Pairs (indexes) of rows of one bucket that pass all filters; rows are sorted by bucket."""
+    key = place >> 32
+    n = (place >> 16 & 0xFFFF).astype(np.int64)
+    pos = (place & 0xFFFF).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
 
@@ -124,11 +151,12 @@ def _pairs_in_buckets(key, sid, np_, sign, order, num: int, den: int):
 
     def keep(i, j):
         # the signatures first: they tell most pairs apart at the least cost
-        ok = np.bitwise_count(usign[i] ^ usign[j]) * np.int32(num + den) <= (short[i] + short[j]) * np.int32(den - num)
-        i, j = i[ok], j[ok]
+        long = (short[i] == _LARGE) | (short[j] == _LARGE)
+        ok = long | (np.bitwise_count(usign[i] ^ usign[j]) * np.int32(num + den) <= (short[i] + short[j]) * np.int32(den - num))
+        i, j, long = i[ok], j[ok], long[ok]
         need = least_common(n[i] + n[j], num, den)
         both = order[i] & order[j]
-        ok = (sid[i] != sid[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
+        ok = (sid[i] != sid[j]) & (long | (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need))
         ok &= ((both & 0xFFFFFFFF) != 0) & ((both >> 32) != 0)
         return i[ok], j[ok]
 
@@ -156,74 +184,73 @@ def _pairs_in_buckets(key, sid, np_, sign, order, num: int, den: int):
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
-def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7, den: int = 10) -> DataFrame:
-    """Pairs of different keys one of whose ``fields`` is alike by at least num/den: key_a < key_b, each once.
+def alike_sets(
+    records: DataFrame, key: str, fields: list[str], num: int = 7, den: int = 10, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, listed: int = LISTED
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of alike texts as pairs of representatives, and who has these texts.
 
-    Null texts and texts without a word are like nothing. Rows that repeat a key
-    add nothing, unless their texts differ; then each text counts. Exact copies
-    (equal word sets) are one member of the buckets, however many there are, and
-    are only multiplied in the result. No pair is lost: no bucket is capped,
-    one with many rows is parted by the prefixes of a second order, and beyond
-    that into blocks that meet block by block.
+    Three frames: links (sid_a, sign_a, rep_a, n_a and the same of b), sets (sid,
+    sign, rep, n) and members (sid, sign, key). A set is the words of one or more
+    equal texts of one field, ``rep`` the least key that has it, ``n`` how many have.
     """
     if len(fields) > 256:
         raise ValueError("at most 256 fields")
     spark = records.sparkSession
     key_type = records.schema[key].dataType
     fields_array = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f).alias("text")) for k, f in enumerate(fields)])
-    texts = spread(records.select(F.col(key).alias("key"), F.inline(fields_array)).filter(F.length("text") > 0))
+    plain = records.select(F.col(key).alias("key"), F.inline(fields_array)).filter(F.length("text") > 0)
+    texts = spread(plain)
 
-    # one reading gives every text as a member of its set, and how many sets of a kind have the words of each slot
+    # one reading gives every text as a member of its set, and in how many sets (copies apart, as far as a task remembers) each word is
     fields_read = [T.StructField("key", key_type), T.StructField("sid", T.LongType()), T.StructField("sign", T.LongType()), T.StructField("is_count", T.BooleanType())]
+    names = [f.name for f in fields_read]
+
+    def counted(held: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(words), kind), pa.array(words.view(np.int64)), pa.array(n), pa.array(np.ones(len(words), bool))], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_SLOTS, np.int64)
-        names = [f.name for f in fields_read]
+        done: set[int] = set()
+        held: list[np.ndarray] = []
         kind = None
         for batch in batches:
             sets = Sets(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             kind = batch.column(0).type
-            total += np.bincount(sets.slots(), minlength=_SLOTS)
+            held.append(sets.h[np.repeat(sets.fresh(done), sets.n)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sets.rows)), pa.array(sets.sid.view(np.int64)), pa.array(sets.sign.view(np.int64)), pa.array(np.zeros(len(sets.n), bool))], names=names)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(at), pa.array(total[at]), pa.array(np.ones(len(at), bool))], names=names)
+            if sum(map(len, held)) > 8_000_000:
+                yield counted(held, kind)
+                held = []
+        if held:
+            yield counted(held, kind)
 
     first = cut(texts.mapInArrow(read, T.StructType(fields_read)))
-    # at most 2**20 rows, whatever the collection
-    counted = first.filter("is_count").groupBy("sid").agg(F.sum("sign").alias("n")).toPandas()
-    table = np.zeros(_SLOTS, np.int32)
-    table[counted["sid"].to_numpy()] = np.minimum(counted["n"].to_numpy(), (1 << 31) - 1)
-    shared = spark.sparkContext.broadcast(table)
-    member = first.filter("not is_count").select("key", "sid", "sign").distinct()
-
-    # the prefix rows of every set: key of the bucket, identity, size and position, signature, order filters
+    counts = first.filter("is_count").groupBy("sid").agg(F.sum("sign").alias("n"))
+    total = first.filter("is_count").agg(F.sum("sign")).first()[0] or 0
+    least = max(2, -(-total // listed))  # at most ``listed`` words are in so many sets
+    frequent = counts.filter(F.col("n") >= least).toPandas()
+    shared = spark.sparkContext.broadcast(WordCounts(frequent["sid"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), least - 1))
+    members = first.filter("not is_count").select("key", "sid", "sign").distinct()
+
+    # the prefix rows of every set: bucket and place in it, identity, signature, order filters
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
         done: set[int] = set()  # copies are dropped before the shuffle, as far as the task remembers
         for batch in batches:
             kinds, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(kinds), 8_000):
                 sets = Sets(kinds[at : at + 8_000], all_texts[at : at + 8_000])
-                if len(done) > 1_000_000:
-                    done.clear()
-                fresh = np.zeros(len(sets.n), bool)
-                for k, s in enumerate(sets.sid.tolist()):
-                    if s not in done:
-                        done.add(s)
-                        fresh[k] = True
-                yield _prefix_rows(sets, fresh, counts, num, den)
-
-    rows = texts.select("kind", "text").mapInArrow(prefixes, "bucket long, sid long, np long, sign long, filters long")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "sid")
+                yield _prefix_rows(sets, sets.fresh(done), shared.value, num, den, bucket_rows, block_rows)
+
+    rows = texts.select("kind", "text").mapInArrow(prefixes, "place long, sid long, sign long, filters long")
+    rows = rows.repartition(F.shiftright("place", 32)).sortWithinPartitions("place", "sid")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            part = [batch.column(k).to_numpy() for k in range(5)]
+            part = [batch.column(k).to_numpy() for k in range(4)]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
-            last = np.searchsorted(part[0], part[0][-1])  # the last bucket may go on in the next batch
+            last = np.searchsorted(part[0], part[0][-1] >> 32 << 32)  # the last bucket may go on in the next batch
             held = [x[last:] for x in part]
             yield emit([x[:last] for x in part])
         if held is not None:
@@ -234,40 +261,83 @@ def similar_pairs(records: DataFrame, key: str, fields: list[str], num: int = 7,
         cols = [c[once] for c in cols]
         i, j = _pairs_in_buckets(*cols, num, den) if len(cols[0]) > 1 else (np.zeros(0, int), np.zeros(0, int))
         a, b = np.minimum(cols[1][i], cols[1][j]), np.maximum(cols[1][i], cols[1][j])
-        sa, sb = np.where(cols[1][i] == a, cols[3][i], cols[3][j]), np.where(cols[1][i] == a, cols[3][j], cols[3][i])
+        sa, sb = np.where(cols[1][i] == a, cols[2][i], cols[2][j]), np.where(cols[1][i] == a, cols[2][j], cols[2][i])
         at = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else np.zeros(0, int)
         return pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (a, sa, b, sb)], names=["sid_a", "sign_a", "sid_b", "sign_b"])
 
     pairs = rows.mapInArrow(join, "sid_a long, sign_a long, sid_b long, sign_b long").distinct()
 
     # verification on the words themselves, one text for each set
-    reps = member.groupBy("sid", "sign").agg(F.min("key").alias("rep"), F.count("*").alias("n_members"))
-    a = reps.select(F.col("sid").alias("sid_a"), F.col("sign").alias("sign_a"), F.col("rep").alias("rep_a"))
-    b = reps.select(F.col("sid").alias("sid_b"), F.col("sign").alias("sign_b"), F.col("rep").alias("rep_b"))
-    reppairs = cut(pairs.join(a, ["sid_a", "sign_a"]).join(b, ["sid_b", "sign_b"]))
-    text_of = records.select(F.col(key).alias("key"), F.struct(*[F.col(f).alias(f"t{k}") for k, f in enumerate(fields)]).alias("texts"))
-    ra = text_of.select(F.col("key").alias("rep_a"), F.col("texts").alias("texts_a"))
-    rb = text_of.select(F.col("key").alias("rep_b"), F.col("texts").alias("texts_b"))
-    both = reppairs.join(ra, "rep_a").join(rb, "rep_b")
+    sets = members.groupBy("sid", "sign").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
+    both = cut(pairs.join(_of(sets, "a"), ["sid_a", "sign_a"]).join(_of(sets, "b"), ["sid_b", "sign_b"]))
+    kind = F.col("sid_a").bitwiseAND(F.lit(255)).cast("int")
+    asked = both.withColumn("kind", kind)
+    for x in "ab":
+        asked = asked.join(plain.select(F.col("key").alias(f"rep_{x}"), "kind", F.col("text").alias(f"text_{x}")), [f"rep_{x}", "kind"])
+    columns = both.columns
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for sid, x, y in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                k = f"t{sid & 255}"  # only the field the sets are of
-                u, v = words_of(x[k] or ""), words_of(y[k] or "")
-                good.append(bool(u) and den * len(u & v) >= num * len(u | v))
-            m = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(m) for k in range(4)], names=["sid_a", "sign_a", "sid_b", "sign_b"])
-
-    alike = both.select("sid_a", "sign_a", "sid_b", "sign_b", "texts_a", "texts_b").mapInArrow(verify, "sid_a long, sign_a long, sid_b long, sign_b long").distinct()
-    ma = member.select(F.col("sid").alias("sid_a"), F.col("sign").alias("sign_a"), F.col("key").alias("key_a"))
-    mb = member.select(F.col("sid").alias("sid_b"), F.col("sign").alias("sign_b"), F.col("key").alias("key_b"))
-    across = alike.join(ma, ["sid_a", "sign_a"]).join(mb, ["sid_b", "sign_b"]).select("key_a", "key_b")
-    copies = member.groupBy("sid", "sign").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    own = member.join(copies, ["sid", "sign"])
-    same = own.select("sid", "sign", F.col("key").alias("key_a")).join(own.select("sid", "sign", F.col("key").alias("key_b")), ["sid", "sign"]).filter("key_a < key_b").select("key_a", "key_b")
-    every = across.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).filter("key_a < key_b").unionByName(same)
+            get = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            good = np.zeros(batch.num_rows, bool)
+            kinds = get["kind"].to_pylist()
+            texts = [get[f"text_{x}"].to_pylist() for x in "ab"]
+            own = [get[f"{c}_{x}"].to_numpy() for x in "ab" for c in ("sid", "sign")]
+            mine = []
+            for t in texts:
+                found, sid, sign = Sets(kinds, t), np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+                sid[found.rows], sign[found.rows] = found.sid.view(np.int64), found.sign.view(np.int64)
+                mine += [sid, sign]
+            # of a key that has several texts only the one that is the set counts
+            right = np.logical_and.reduce([x == y for x, y in zip(own, mine)])
+            for k in np.flatnonzero(right).tolist():
+                u, v = words_of(texts[0][k]), words_of(texts[1][k])
+                good[k] = den * len(u & v) >= num * len(u | v)
+            m = pa.array(good)
+            yield pa.RecordBatch.from_arrays([get[c].filter(m) for c in columns], names=columns)
+
+    links = asked.select(*columns, "kind", "text_a", "text_b").mapInArrow(verify, both.schema).distinct()
+    return links, sets, members
+
+
+def _of(sets: DataFrame, x: str) -> DataFrame:
+    return sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("sid", "sign", "rep", "n")])
+
+
+def similar_pairs(
+    records: DataFrame, key: str, fields: list[str], num: int = 7, den: int = 10, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, listed: int = LISTED, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Pairs of different keys one of whose ``fields`` is alike by at least num/den: key_a < key_b, each once.
+
+    Null texts and texts without a word are like nothing. Rows that repeat a key
+    add nothing, unless their texts differ; then each text counts. Exact copies
+    (equal word sets) are one member of the buckets, however many there are, and
+    are only multiplied in the result, chunk by chunk. No pair is lost: no bucket
+    is capped, one with more than ``bucket_rows`` rows is parted by the prefixes
+    of a second order, and beyond ``block_rows`` into blocks that meet block by
+    block.
+    """
+    links, sets, members = alike_sets(records, key, fields, num, den, bucket_rows, block_rows, listed)
+    # the keys of a text with copies, in chunks of bounded length
+    parts = lambda n: F.ceil(F.col(n) / F.lit(chunk_rows)).cast("int")
+    copied = sets.filter("n > 1")
+    chunk = F.pmod(F.xxhash64("key"), parts("n")).cast("int").alias("chunk")
+    chunks = cut(members.join(copied, ["sid", "sign"]).select("sid", "sign", "key", chunk).groupBy("sid", "sign", "chunk").agg(F.collect_list("key").alias("keys")))
+
+    def side(pairs: DataFrame, x: str) -> DataFrame:
+        """``pairs`` with the keys of one side: the representative alone, or each chunk of the copies."""
+        rest = [c for c in pairs.columns if c not in (f"sid_{x}", f"sign_{x}", f"rep_{x}", f"n_{x}")]
+        alone = pairs.filter(f"n_{x} = 1").select(*rest, F.array(f"rep_{x}").alias(f"keys_{x}"))
+        many = pairs.filter(f"n_{x} > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0), parts(f"n_{x}") - 1)))
+        met = many.join(chunks.select(F.col("sid").alias(f"sid_{x}"), F.col("sign").alias(f"sign_{x}"), "chunk", F.col("keys").alias(f"keys_{x}")), [f"sid_{x}", f"sign_{x}", "chunk"])
+        return alone.unionByName(met.select(*rest, f"keys_{x}"))
+
+    across = side(side(cut(links), "a"), "b").select("keys_a", "keys_b")
+    # copies of one text: every two chunks of it
+    c = chunks.select("sid", "sign", F.col("chunk").alias("chunk_a"), F.col("keys").alias("keys_a"))
+    same = c.join(chunks.select("sid", "sign", F.col("chunk").alias("chunk_b"), F.col("keys").alias("keys_b")), ["sid", "sign"]).filter("chunk_a <= chunk_b").select("keys_a", "keys_b")
+    every = across.unionByName(same).withColumn("key_a", F.explode("keys_a")).select("key_a", F.explode("keys_b").alias("key_b"))
+    every = every.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).filter("key_a < key_b")
     return every.distinct().select(F.col("key_a").alias(f"{key}_a"), F.col("key_b").alias(f"{key}_b"))
 
 
@@ -278,25 +348,26 @@ def _mix(*parts: int) -> int:
     return (x ^ x >> 31) & 0x7FFFFFFFFFFFFFFF
 
 
-def _prefix_rows(sets: Sets, fresh: np.ndarray, counts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+def _prefix_rows(sets: Sets, fresh: np.ndarray, counts: WordCounts, num: int, den: int, bucket_rows: int, block_rows: int) -> pa.RecordBatch:
     """A row for each bucket of each fresh set.
 
     The bucket of a prefix word is its own, or, if many texts have the word, one
     with each prefix word of a second order: a pair alike shares a prefix word
     there too, so it meets in one of them. If even that word is in too many texts
-    the bucket is split into blocks; every pair of blocks meets.
+    the bucket is split into blocks; every pair of blocks meets. A row's place is
+    its bucket (31 bits; two words in one bucket only cost comparisons), the
+    size of its set and the word's rank in it.
     """
-    names = ["bucket", "sid", "np", "sign", "filters"]
+    names = ["place", "sid", "sign", "filters"]
     if not len(sets.n):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=names)
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=names)
     owner, h, count, rank, p, filters, front = sets.prefixes(counts, num, den)
-    own_kind = sets.kind * np.uint64(0x5DEECE66D1234567)
     # a word of one text only brings it nowhere
     prefix = (rank < p[owner]) & fresh[owner] & (count > 1)
-    one = np.flatnonzero(prefix & (count <= BUCKET_ROWS))
-    key = ((h[one] ^ own_kind[owner[one]]) >> np.uint64(1)).view(np.int64)
+    one = np.flatnonzero(prefix & (count <= bucket_rows))
+    bucket = h[one]
     who, place = owner[one], rank[one]
-    many = np.flatnonzero(prefix & (count > BUCKET_ROWS))
+    many = np.flatnonzero(prefix & (count > bucket_rows))
     if len(many):
         keys, whos, places = [], [], []
         ends = np.r_[sets.start[1:], len(h)]
@@ -304,14 +375,15 @@ def _prefix_rows(sets: Sets, fresh: np.ndarray, counts: np.ndarray, num: int, de
             k = int(owner[r])
             second = np.arange(sets.start[k], ends[k])[front[sets.start[k] : ends[k]] < p[k]]
             for g in second.tolist():
-                blocks = -(-int(min(count[r], count[g])) // BLOCK_ROWS)
-                own = int(sets.sid[k]) % blocks if blocks else 0
+                blocks = -(-int(min(count[r], count[g])) // block_rows)
+                own = (int(sets.sid[k]) >> 8) % blocks if blocks else 0
                 for other in range(max(1, blocks)):
-                    keys.append(_mix(int(sets.kind[k]), int(h[r]), int(h[g]), *((min(own, other), max(own, other)) if blocks > 1 else ())))
+                    keys.append(_mix(int(h[r]), int(h[g]), *((min(own, other), max(own, other)) if blocks > 1 else ())))
                     whos.append(k)
                     places.append(int(rank[r]))
-        key = np.concatenate([key, np.array(keys, np.int64)])
+        bucket = np.concatenate([bucket, np.array(keys, np.uint64)])
         who, place = np.concatenate([who, np.array(whos, np.int64)]), np.concatenate([place, np.array(places, np.int64)])
-    size = sets.n[who] << 20 | np.minimum(place, 0xFFFFF)
-    cols = [key, sets.sid[who].view(np.int64), size, sets.sign[who].view(np.int64), filters[who].view(np.int64)]
+    b31 = (bucket ^ bucket >> np.uint64(31)) & np.uint64(0x7FFFFFFF)
+    at = b31.view(np.int64) << 32 | np.minimum(sets.n[who], _LARGE) << 16 | np.minimum(place, _LARGE)
+    cols = [at, sets.sid[who].view(np.int64), sets.sign[who].view(np.int64), filters[who].view(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from docstruct.llm import names as N
@@ -21,10 +22,8 @@ def _slow(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket,block", [(8_000, 16_000), (2, 16_000), (2, 3)])
-def test_pairs_equal_brute_force(spark, monkeypatch, bucket, block):
-    monkeypatch.setattr(D, "BUCKET_ROWS", bucket)
-    monkeypatch.setattr(D, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("bucket,block,listed,chunk", [(8_000, 16_000, 1 << 22, 1_000), (2, 16_000, 1 << 22, 3), (2, 3, 1 << 22, 1), (2, 3, 40, 2)])
+def test_pairs_equal_brute_force(spark, bucket, block, listed, chunk):
     rnd = random.Random(8)
     base = [[rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randint(1, 2) for _ in range(rnd.randint(1, 14))] for _ in range(25)]
 
@@ -37,9 +36,29 @@ def test_pairs_equal_brute_force(spark, monkeypatch, bucket, block):
 
     rows = [(k, text() if rnd.random() < 0.9 else None, text() if rnd.random() < 0.8 else "") for k in range(160)] + [(500, "a", "..."), (501, "A!", None)]
     d = spark.createDataFrame(rows + rows[:7], "ref_id long, raw_text string, title string")
-    # the tasks see the changed bounds only through the closure of this process, so the rows are made here
-    got = {tuple(r) for r in D.similar_pairs(d, "ref_id", ["raw_text", "title"]).collect()}
-    assert got == _slow(rows)
+    got = [tuple(r) for r in D.similar_pairs(d, "ref_id", ["raw_text", "title"], bucket_rows=bucket, block_rows=block, listed=listed, chunk_rows=chunk).collect()]
+    assert len(got) == len(set(got)) and set(got) == _slow(rows)
+
+
+def test_bounds_reach_the_rows():
+    """Small bounds make the rows of parted buckets and of blocks, not only the plain ones."""
+    sets = D.Sets([0] * 40, [f"a b c d e f g w{k}" for k in range(40)])
+    counts = D.WordCounts(np.unique(sets.h), np.full(len(np.unique(sets.h)), 40), 1)
+    n = [D._prefix_rows(sets, np.ones(40, bool), counts, 7, 10, *x).num_rows for x in ((100, 100), (2, 100), (2, 10))]
+    assert n[0] < n[1] < n[2] and n[2] == 4 * n[1]
+
+
+def test_key_with_several_texts(spark):
+    one, other, near = "a b c d e f g h i j", "k l m n o p q r s t", "k l m n o p q r s u"
+    d = spark.createDataFrame([(1, one, None), (1, other, None), (2, one, None), (3, near, None)], "ref_id long, raw_text string, title string")
+    for _ in range(3):
+        assert {tuple(r) for r in D.similar_pairs(d, "ref_id", ["raw_text", "title"]).collect()} == {(1, 2), (1, 3)}
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(70_000))
+    d = spark.createDataFrame([(1, long, None), (2, long + " more", None), (3, "w1 w2", None)], "ref_id long, raw_text string, title string")
+    assert [tuple(r) for r in D.similar_pairs(d, "ref_id", ["raw_text", "title"]).collect()] == [(1, 2)]
 
 
 def test_hot_copies_and_empty(spark):
