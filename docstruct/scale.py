@@ -8,6 +8,7 @@ the driver only after its row count was checked against a fixed bound.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -36,15 +37,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def own_shuffles(spark: SparkSession):
+    """Queries run inside drop their shuffle files when they end; for those whose frames are not run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from the written rows.
 
-    Columnar and compressed, and it outlives any executor. The tables are removed
-    by ``free`` or when the driver ends.
+    Columnar and compressed, and it outlives any executor. The shuffles of the
+    write are dropped when it is done, since nobody reads them again. The tables
+    are removed by ``free`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/docstruct-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with own_shuffles(spark):
+        df.write.parquet(path)
     if not _written:
         atexit.register(free)
     _written.append((spark, path))
