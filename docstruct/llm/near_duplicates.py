@@ -115,7 +115,7 @@ class Sets:
             total = np.add.reduceat(mine.astype(np.int64), self.start)
             front = np.where(mine, among, total[owner] + rank - among - 1)  # then the other half
             take = front < p[owner]
-            filters |= np.bitwise_or.reduceat(np.where(take, bit, np.uint64(0)), self.start) << np.uint64(32 * half)
+            filters |= np.bitwise_or.reduceat(np.where(take, bit, np.uint64(0)), self.start) << np.uint64(_ORDER_BITS * half)
             fronts.append(front)
         return owner, h, count, rank, p, filters, fronts[0]
 
@@ -146,18 +146,18 @@ def _pairs_in_buckets(place, sid, sign, order, num: int, den: int):
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
 
-    usign = sign.view(np.uint64)
+    sign = sign.view(np.uint64)
     short = n.astype(np.int32)
 
     def keep(i, j):
         # the signatures first: they tell most pairs apart at the least cost
         long = (short[i] == _LARGE) | (short[j] == _LARGE)
-        ok = long | (np.bitwise_count(usign[i] ^ usign[j]) * np.int32(num + den) <= (short[i] + short[j]) * np.int32(den - num))
+        ok = long | (np.bitwise_count(sign[i] ^ sign[j]) * np.int32(num + den) <= (short[i] + short[j]) * np.int32(den - num))
         i, j, long = i[ok], j[ok], long[ok]
         need = least_common(n[i] + n[j], num, den)
         both = order[i] & order[j]
         ok = (sid[i] != sid[j]) & (long | (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need))
-        ok &= ((both & 0xFFFFFFFF) != 0) & ((both >> 32) != 0)
+        ok &= ((both & 0x7FFFFFFF) != 0) & ((both >> _ORDER_BITS) != 0)
         return i[ok], j[ok]
 
     out_i, out_j = [], []
@@ -166,6 +166,7 @@ def _pairs_in_buckets(place, sid, sign, order, num: int, den: int):
     at = np.flatnonzero(small & (left > 0))
     k = 1
     while len(at):
+        at = at[num * n[at + k] <= den * n[at]]  # a bucket is in the order of size: no later row is nearer
         i, j = keep(at, at + k)
         out_i.append(i)
         out_j.append(j)
@@ -230,7 +231,7 @@ def alike_sets(
     least = max(2, -(-total // listed))  # at most ``listed`` words are in so many sets
     frequent = counts.filter(F.col("n") >= least).toPandas()
     shared = spark.sparkContext.broadcast(WordCounts(frequent["sid"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), least - 1))
-    members = first.filter("not is_count").select("key", "sid", "sign").distinct()
+    members = first.filter("not is_count").select("key", "sid", "sign")
 
     # the prefix rows of every set: bucket and place in it, identity, signature, order filters
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +266,7 @@ def alike_sets(
         at = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else np.zeros(0, int)
         return pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (a, sa, b, sb)], names=["sid_a", "sign_a", "sid_b", "sign_b"])
 
-    pairs = rows.mapInArrow(join, "sid_a long, sign_a long, sid_b long, sign_b long").distinct()
+    pairs = cut(rows.mapInArrow(join, "sid_a long, sign_a long, sid_b long, sign_b long").distinct())
 
     # verification on the words themselves, one text for each set
     sets = members.groupBy("sid", "sign").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
@@ -277,23 +278,23 @@ def alike_sets(
     columns = both.columns
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, str], tuple[int, int, set[str]]] = {}  # texts come in many pairs
         for batch in batches:
             get = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            good = np.zeros(batch.num_rows, bool)
+            if len(known) > 50_000:
+                known.clear()
             kinds = get["kind"].to_pylist()
-            texts = [get[f"text_{x}"].to_pylist() for x in "ab"]
-            own = [get[f"{c}_{x}"].to_numpy() for x in "ab" for c in ("sid", "sign")]
-            mine = []
-            for t in texts:
-                found, sid, sign = Sets(kinds, t), np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-                sid[found.rows], sign[found.rows] = found.sid.view(np.int64), found.sign.view(np.int64)
-                mine += [sid, sign]
-            # of a key that has several texts only the one that is the set counts
-            right = np.logical_and.reduce([x == y for x, y in zip(own, mine)])
-            for k in np.flatnonzero(right).tolist():
-                u, v = words_of(texts[0][k]), words_of(texts[1][k])
-                good[k] = den * len(u & v) >= num * len(u | v)
-            m = pa.array(good)
+            sides = [list(zip(kinds, get[f"text_{x}"].to_pylist())) for x in "ab"]
+            new = list({t for side in sides for t in side if t not in known})
+            found = Sets([k for k, _ in new], [t for _, t in new])
+            known.update((new[r], (sid, sign, words_of(new[r][1]))) for r, sid, sign in zip(found.rows.tolist(), found.sid.view(np.int64).tolist(), found.sign.view(np.int64).tolist()))
+            none = (0, 0, set())
+            good = []
+            for a, b, *own in zip(*sides, *(get[f"{c}_{x}"].to_pylist() for x in "ab" for c in ("sid", "sign"))):
+                u, v = known.get(a, none), known.get(b, none)
+                # of a key that has several texts only the one that is the set counts
+                good.append(own == [*u[:2], *v[:2]] and den * len(u[2] & v[2]) >= num * len(u[2] | v[2]))
+            m = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([get[c].filter(m) for c in columns], names=columns)
 
     links = asked.select(*columns, "kind", "text_a", "text_b").mapInArrow(verify, both.schema).distinct()
@@ -322,7 +323,7 @@ def similar_pairs(
     parts = lambda n: F.ceil(F.col(n) / F.lit(chunk_rows)).cast("int")
     copied = sets.filter("n > 1")
     chunk = F.pmod(F.xxhash64("key"), parts("n")).cast("int").alias("chunk")
-    chunks = cut(members.join(copied, ["sid", "sign"]).select("sid", "sign", "key", chunk).groupBy("sid", "sign", "chunk").agg(F.collect_list("key").alias("keys")))
+    chunks = cut(members.join(copied, ["sid", "sign"]).select("sid", "sign", "key", chunk).groupBy("sid", "sign", "chunk").agg(F.collect_set("key").alias("keys")))
 
     def side(pairs: DataFrame, x: str) -> DataFrame:
         """``pairs`` with the keys of one side: the representative alone, or each chunk of the copies."""
