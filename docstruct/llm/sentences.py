@@ -1,10 +1,13 @@
 """Problem 5: sentence boundaries by a pushdown automaton.
 
-The automaton runs over the marks of a text (stops, brackets, quotation marks,
-and blanks in scripts without stops). Its stack holds the open brackets and
-quotations. A stop ends a sentence unless the trie of abbreviations, read
-backwards from the stop, or what follows says that the sentence goes on; the
-closing marks and citation numbers behind the stop are taken into the sentence.
+The automaton runs over the marks of a text: stops, brackets, quotation marks,
+item numbers, and blanks in scripts without stops. Its stack holds the open
+brackets and quotations and the list levels. A stop in a bracket or quotation
+after which the sentence goes on ends nothing, whatever stands there; a number
+that goes on with a list level on the stack is an item's. Any other stop ends a
+sentence unless the trie of abbreviations, read backwards from the stop, or what
+follows says that the sentence goes on; the closing marks and citation numbers
+behind the stop are taken into the sentence.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from docstruct.scale import spread
 #: Abbreviations that always want something after them: titles, references, "for example", units of counting.
 LEADING = """
 dr prof mr mrs mx st rev hon gen col capt lt sgt messrs fig figs tab tabs sec secs eq eqs ch chap art arts app no nos vol vols pp p pg ed eds
-cf viz vs v e.g i.e approx ca c esp incl resp al.ii vgl bzw z.b d.h i.d.r i.s.v sog gem abb nr abs ziff kap bd hrsg evtl ggf s.o s.u sr sra srta
+cf viz vs v e.g i.e approx ca c esp incl resp vgl bzw z.b d.h i.d.r i.s.v sog gem abb nr abs ziff kap bd hrsg evtl ggf s.o s.u sr sra srta
 dra d.ª pág págs fig núm p.ej p.ex aprox lic ing m mm mme mlle mgr env chap éd n.º n.° no.s art séc t.e т.е т.д.н см рис стр гл ст напр табл ср проф г-н г-жа акад им ул п пп
 ص د م انظر श्री डॉ पृ कृ देखें กก ดร นพ พล.อ พ.ศ ค.ศ jan feb mar apr jun jul aug sept sep oct nov dec janv févr avr juil déc
 """.split()
 #: Abbreviations that may also end a sentence; what follows decides.
-TRAILING = "etc al co inc ltd corp jr sr.ii bros u.a z.t o.ä p.m a.m u.s u.k e.u ph.d usw u.s.w u.ä f ff jh n.chr v.chr и.др др т.д т.п и.т.д г гг в вв тыс млн млрд руб ee.uu uu s.a c.v cie ibid op.cit sqq et.seq ms".split()
+TRAILING = "etc al co inc ltd corp jr bros u.a z.t o.ä p.m a.m u.s u.k e.u ph.d usw u.s.w u.ä f ff jh n.chr v.chr и.др др т.д т.п и.т.д г гг в вв тыс млн млрд руб ee.uu uu s.a c.v cie ibid op.cit sqq et.seq ms".split()
 #: Month names after a day number with a stop: the stop is the ordinal's.
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
@@ -150,12 +153,75 @@ def _goes_on(text: str, start: int, end: int, stop: str) -> bool:
     return False
 
 
+_BRACKETS = regex.compile(r"[(\[{（［｛「『《〈【)\]}）］｝」』》〉】«»“”„\"]")
+_CLOSERS = frozenset(_CLOSE + "”»“\"’'")
+
+
+def _opens(stack: list, ch: str) -> bool:
+    return ch in _OPEN or ch == "„" or (ch in "“«\"" and not _closes(stack, ch))
+
+
+def _held(text: str) -> list[tuple[int, int]]:
+    """Brackets and quotations after whose end the sentence goes on: open and closing place of the outermost ones, in order.
+
+    Only marks that have their partner count; an open one that is never closed
+    holds nothing.
+    """
+    stack: list[tuple[str, int]] = []
+    spans: list[tuple[int, int]] = []
+    for m in _BRACKETS.finditer(text):
+        ch, k = m.group(), m.start()
+        if _opens(stack, ch):
+            stack.append((ch, k))
+            continue
+        opened = _close(stack, ch)
+        if opened is not None:
+            spans.append((opened, k))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and b < out[-1][1]:
+            continue  # inside one that holds already
+        end = _TAIL.match(text, b).end() if _TAIL.match(text, b) else b + 1
+        k = b
+        while k > a and (text[k - 1] in _CLOSERS or text[k - 1].isspace()):
+            k -= 1
+        first = k
+        while first > a and text[first - 1] in _STOPS:
+            first -= 1
+        goes_on = _goes_on(text, first, end, text[first:k]) if first < k else _GAP.match(text, end).end() < len(text)
+        if goes_on:
+            out.append((a, b))
+    return out
+
+
+class _Lists:
+    """The list levels of the stack: what number each has next."""
+
+    def __init__(self) -> None:
+        self.levels: list[int] = []
+
+    def item(self, number: int) -> bool:
+        """Whether a number at the beginning of a sentence is that of an item; the levels follow it."""
+        for k in range(len(self.levels) - 1, -1, -1):
+            if self.levels[k] == number:
+                del self.levels[k + 1 :]
+                self.levels[k] += 1
+                return True
+        if number == 1:
+            self.levels.append(2)
+            return True
+        return False
+
+
 def sentence_ends(text: str) -> list[int]:
     """The end of each sentence; the last one is the end of the text. White space alone has no sentence."""
     if not text.strip():
         return []
     ends: list[int] = []
     stack: list[tuple[str, int]] = []
+    lists = _Lists()
+    held = _held(text)
+    next_held, begin = 0, 0  # the first that ends behind the mark at hand; where the sentence at hand begins
     at, last = 0, len(text)
     marks = _THAI_MARK if _THAI.search(text) else _MARK
     while True:
@@ -164,6 +230,9 @@ def sentence_ends(text: str) -> list[int]:
             break
         mark, start, at = m.group(), m.start(), m.end()
         first = mark[0]
+        while next_held < len(held) and held[next_held][1] < start:
+            next_held += 1
+        inside = next_held < len(held) and held[next_held][0] < start
         if first in _STOPS:
             tail = _TAIL.match(text, at)
             # a closing mark that was never opened but could open is left to what follows
@@ -172,36 +241,40 @@ def sentence_ends(text: str) -> list[int]:
                 end -= 1
                 while end > at and text[end - 1].isspace():
                     end -= 1
-            if not _goes_on_from(text, start, at, end, mark):
+            number = text[begin:start].strip()
+            is_item = first == "." and number.isdecimal() and len(number) < 4 and text[at : at + 1].isspace() and lists.item(int(number))
+            if not inside and not is_item and not _goes_on(text, start, end, mark):
                 ends.append(end)
+                begin = end
             for ch in text[at:end]:
                 _close(stack, ch)
             at = max(at, end)
-        elif first in _OPEN or first in "„" or (first in "“«\"" and not _closes(stack, first)):
+        elif _opens(stack, first):
             stack.append((first, start))
         elif first in _CLOSE or first in "”»“\"":
             _close(stack, first)
         elif not stack or stack[-1][0] not in "([（":  # a blank between two Thai words
             ends.append(start)
-    ends = sorted({e for e in ends if text[e:].strip(" \t\n\r\x0b\x0c") and _GAP.match(text, e).end() < last and _GAP.match(text, 0).end() < e})
+            begin = start
+    body, front = len(text.rstrip(" \t\n\r\x0b\x0c")), _GAP.match(text, 0).end()
+    ends = sorted({e for e in ends if front < e < body and _GAP.match(text, e).end() < last})
     ends.append(last)
     return ends
 
 
-def _goes_on_from(text: str, start: int, stop_end: int, end: int, stop: str) -> bool:
-    return _goes_on(text, start, end, stop) if end > stop_end else _goes_on(text, start, stop_end, stop)
-
-
 def _closes(stack: list, ch: str) -> bool:
     return bool(stack) and any(q == "„" if ch == "“" else q == ch for q, _ in stack[-2:])
 
 
-def _close(stack: list, ch: str) -> None:
+def _close(stack: list, ch: str) -> int | None:
+    """Close the nearest open mark that ``ch`` ends, and what was opened after it; its place."""
     want = {"”": "“", "»": "«", "“": "„", '"': '"'}.get(ch) or _PAIR.get(ch)
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] == want:
+            place = stack[k][1]
             del stack[k:]
-            return
+            return place
+    return None
 
 
 def sentences(items: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -87,6 +87,8 @@ def test_split_rows(spark):
     ["यह पृ. 29 के है।", " दूसरा डॉ. वेल है।", " “हमारा है।”", " नया"],
     ["ตัวแปลงขนาดตาม Fig. 3 นี้", " วิธีการใหม่ในปี พ.ศ. 2519 นั้น", " “แบบจำลอง”"],
     ["3.84 1.12 4.5"], ["¿La codificación? ", "¡Sí! "],
+    ['He said "Stop. Go now." and left.', " More."], ["(see above. Also below. Both hold) and stopped.", " End."], ['"First.', ' Second."', " Third."],
+    ["1. First item.", " 2. Second item.", " 3. Third."], ["1. A one.", " 1. Sub one.", " 2. Sub two.", " 2. B two."], ["A (b.", " C is open."],
 ])
 def test_sentences(parts):
     text = "".join(parts)
