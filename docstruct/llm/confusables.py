@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,7 @@ _RUN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{M}]+")
 _SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
 _MIXED = regex.compile("|".join(rf"\p{{{a}}}\p{{M}}*\p{{{b}}}" for a in _SCRIPTS for b in _SCRIPTS if a != b))
 _PLAIN = regex.compile(r"[\x00-\x7f]*")
+_PLAIN_BLANKS = regex.compile(r"[ \t\r\n]+")
 
 
 @lru_cache(1 << 16)
@@ -68,23 +69,53 @@ def _folded(ch: str) -> str:
     return unicodedata.normalize("NFKC", ch) if _FOLD.match(ch) else ch
 
 
-def skeleton(text: str) -> str:
-    """The look-alike class of a text; equal for texts that look the same."""
+_PART = "\ue000"  # a character of nobody's, to part many in one call
+_tables: dict[int, dict[str, str]] = {}
+
+
+def prototypes(spark: SparkSession) -> dict[str, str]:
+    """The public look-alike table as the Unicode library of the session has it: character -> prototype, some 6,000 entries.
+
+    Ideographs and Hangul syllables without radicals of their own are left out.
+    """
+    known = _tables.get(id(spark))
+    if known is None:
+        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        points = [k for k in range(0x20000) if not (0x3400 <= k <= 0x9FFF or 0xAC00 <= k <= 0xE000 or 0x17000 <= k <= 0x18FFF) and unicodedata.category(chr(k))[0] in "LMNPS"]
+        known = {}
+        for at in range(0, len(points), 20_000):
+            part = [chr(k) for k in points[at : at + 20_000]]
+            like = checker.getSkeleton(0, _PART.join(part)).split(_PART)
+            known.update((c, p) for c, p in zip(part, like) if unicodedata.normalize("NFD", c) != p)
+        _tables.clear()
+        _tables[id(spark)] = known
+    return known
+
+
+def skeleton(text: str, table: dict[str, str] | None = None) -> str:
+    """The look-alike class of a text; equal for texts that look the same.
+
+    ``table``: the prototypes of characters; without it those of the scripts that
+    are told apart here.
+    """
     t = SPACES.sub(" ", INVISIBLE.sub("", text))
     t = unicodedata.normalize("NFD", "".join(_folded(c) for c in t))
-    t = "".join(_TO_LATIN.get(c, "-" if _HYPHENS.match(c) else c) for c in t)
+    if table is None:
+        t = "".join(_TO_LATIN.get(c, "-" if _HYPHENS.match(c) else c) for c in t)
+    else:
+        t = "".join(table.get(c, c) for c in t)
     return unicodedata.normalize("NFD", t)
 
 
 @lru_cache(1 << 17)
-def _word(run: str) -> str:
-    """A run of letters in one script: that of its letters with no look-alike, else of most of its letters."""
+def _word(run: str, main: str = "") -> str:
+    """A run of letters in one script: that of its letters with no look-alike, else ``main``, that of the text, or Latin, if it has letters of it, else that of most."""
     if len({_script(c) for c in run} - {""}) < 2:
         return run
     base = unicodedata.normalize("NFD", run)
     sure = Counter(_script(c) for c in base if _script(c) and not (c in _TO_LATIN or c in _BACK["Cyrillic"] and _script(c) == "Latin"))
     every = Counter(_script(c) for c in base if _script(c))
-    home = max(every, key=lambda s: (sure[s], every[s], s == "Latin"))
+    home = max(every, key=lambda s: (sure[s], not sure and s == main, not sure and not main and s == "Latin", every[s]))
     back = _BACK.get(home)
     if home == "Latin":
         out = "".join(_TO_LATIN.get(c, c) for c in base)
@@ -110,18 +141,40 @@ def consistent(text: str) -> str:
         t = "".join(c if c.isascii() or (east and _WIDE_SIGNS.match(c)) else _folded(c) for c in t)
         t = unicodedata.normalize("NFC", t)
     t = _HYPHENS.sub("-", t)
-    return _RUN.sub(lambda m: _word(m.group()), t) if _MIXED.search(t) else t
+    if not _MIXED.search(t):
+        return t
+    sure = {n: len(p.findall(t)) for n, p in _SURE.items()}
+    main = max(sure, key=sure.__getitem__)
+    main = main if sure[main] else ""
+    return _RUN.sub(lambda m: _word(m.group(), main), t)
+
+
+WORD_FIELDS = ("original", "consistent", "skeleton", "script")
+
+
+def _home(word: str) -> str:
+    """The script of most letters, empty if it is none of those told apart."""
+    found = Counter(_script(c) for c in word)
+    return max(found, key=lambda s: (found[s], s)) if found else ""
+
+
+def _member(original: str, form: str, table: dict[str, str]) -> dict[str, str]:
+    return {"original": original, "consistent": form, "skeleton": skeleton(original, table), "script": _home(form)}
 
 
 def consistent_items(items: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, text, consistent_text, is_changed and, of changed items, words (original, consistent form, skeleton).
+    """``keys``, text, consistent_text, is_changed and, of changed items, words (original, consistent form, skeleton, script of the form).
+
+    Words are parted by plain blanks and line breaks; where they are as they were
+    but the text is not, the text is the word.
 
     A null text gives null forms and is_changed false, an empty one stays empty;
     repeated rows give repeated rows. No shuffle.
     """
-    word = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("original", "consistent", "skeleton")]))
+    word = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in WORD_FIELDS]))
     schema = T.StructType([*(T.StructField(k, items.schema[k].dataType) for k in keys), T.StructField("text", T.StringType()), T.StructField("consistent_text", T.StringType()), T.StructField("is_changed", T.BooleanType()), T.StructField("words", word)])
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("original", "consistent", "skeleton")]))
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in WORD_FIELDS]))
+    shared = items.sparkSession.sparkContext.broadcast(prototypes(items.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +185,8 @@ def consistent_items(items: DataFrame, keys: list[str], text: str) -> DataFrame:
                 if t == f:
                     words.append(None)
                     continue
-                split = {w for w in SPACES.sub(" ", t).split() if consistent(w) != w}
-                words.append([{"original": w, "consistent": consistent(w), "skeleton": skeleton(w)} for w in sorted(split)])
+                split = {w: f for w in _PLAIN_BLANKS.split(t) if (f := consistent(w)) != w} or {t: f}
+                words.append([_member(w, g, shared.value) for w, g in sorted(split.items())])
             cols = [batch.column(k) for k in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(forms, pa.string()), pa.array([t != f for t, f in zip(texts, forms)]), pa.array(words, kind)], names=schema.names)
 
@@ -180,6 +233,7 @@ def by_corpus(forms: DataFrame, keys: list[str]) -> DataFrame:
     held = T.StructType([*(forms.schema[k] for k in [*keys, "text"]), T.StructField("skeleton", T.StringType()), T.StructField("word", T.StringType()), T.StructField("home", T.StringType()), T.StructField("is_rarer", T.BooleanType())])
 
     columns = forms.columns
+    shared = forms.sparkSession.sparkContext.broadcast(prototypes(forms.sparkSession))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +264,7 @@ def by_corpus(forms: DataFrame, keys: list[str]) -> DataFrame:
                     old = rows["consistent_text"][k]
                     rows["consistent_text"][k] = _RUN.sub(lambda m: back.get(m.group(), m.group()), old)
                     rows["is_changed"][k] = True
-                    rows["words"][k] = (rows["words"][k] or []) + [{"original": w, "consistent": f, "skeleton": skeleton(w)} for w, f in sorted(back.items())]
+                    rows["words"][k] = (rows["words"][k] or []) + [_member(w, f, shared.value) for w, f in sorted(back.items())]
             yield pa.RecordBatch.from_arrays([pa.array(rows[n], batch.schema.field(n).type) for n in columns], names=columns)
 
     found = cut(forms.select(*keys, "text", "consistent_text").mapInArrow(ask, held))
@@ -234,18 +288,33 @@ def section_forms(sections: DataFrame) -> DataFrame:
     return by_corpus(cut(consistent_items(titles_and_paragraphs(sections), keys, "text")), keys)
 
 
+def found_items(forms: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` of the items with a word that is not the representative of its look-alike class.
+
+    Originals are grouped by equal skeleton and the script they are kept in; the
+    representative is the form most of the class are kept in, of equal ones the
+    last by code point.
+    """
+    words = forms.filter("is_changed").select(*keys, F.inline("words"))
+    members = words.groupBy("skeleton", "script", "consistent").agg(F.count("*").alias("n"))
+    classes = members.groupBy("skeleton", "script").agg(F.max_by("consistent", F.struct("n", "consistent")).alias("representative"))
+    return words.join(classes, ["skeleton", "script"]).filter("original <> representative").select(*keys).distinct()
+
+
 def skeleton_groups(items: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Texts grouped by equal skeleton: skeleton, n_forms, n_rows, consistent_text; groups of several forms only.
 
     The skeletons and forms are counted before the shuffle, so a text repeated
     very often is one row of it for every task.
     """
+    shared = items.sparkSession.sparkContext.broadcast(prototypes(items.sparkSession))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("skeleton", "form", "consistent_text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array([f(t) for t in texts], pa.string()) for f in (skeleton, str, consistent)], names=schema.names)
+            table = shared.value
+            yield pa.RecordBatch.from_arrays([pa.array([f(t) for t in texts], pa.string()) for f in (lambda t: skeleton(t, table), str, consistent)], names=schema.names)
 
     forms = spread(items.select(text)).mapInArrow(run, schema).groupBy("skeleton", "form").agg(F.count("*").alias("n"), F.min("consistent_text").alias("consistent_text"))
     groups = forms.groupBy("skeleton").agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"), F.min("consistent_text").alias("consistent_text"))

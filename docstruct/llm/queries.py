@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstruct.llm.confusables import section_forms, skeleton_groups
+from docstruct.llm.confusables import found_items, section_forms, skeleton_groups
 from docstruct.llm.garbled import find_garbled
 from docstruct.llm.names import linked_names
 from docstruct.llm.near_duplicates import similar_pairs
@@ -16,12 +16,11 @@ from docstruct.llm.sections_io import titles_and_paragraphs
 from docstruct.llm.sentences import section_sentences
 from docstruct.llm.splitting import split_sections
 from docstruct.llm.tokenize import encode_texts
-from docstruct.scale import table
+from docstruct.scale import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    forms = section_forms(table(spark, d, "sections"))
-    return forms.filter("is_changed").select("section_id", "item_no").distinct()
+    return found_items(cut(section_forms(table(spark, d, "sections"))), ["section_id", "item_no"])
 
 
 def p1_skeleton_groups(spark: SparkSession, d: str) -> DataFrame:

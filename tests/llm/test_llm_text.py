@@ -76,6 +76,25 @@ def test_split_rows(spark):
     assert {r.section_id for r in rows} == {1} and max(len(r.piece) for r in rows) <= 30
 
 
+def test_skeletons_by_the_public_table(spark):
+    table = C.prototypes(spark)
+    for a, b in (("Ꭺpple", "Apple"), ("ꓮꓐꓚ", "ABC"), ("ⲟld", "old"), ("ꜱmall", "small"), ("0ne", "One"), ("1t", "It"), ("modern", "modem"), ("раураl", "paypal")):
+        assert C.skeleton(a, table) == C.skeleton(b, table)
+    assert C.skeleton("apple", table) != C.skeleton("apples", table)
+
+
+def test_words_wholly_of_look_alikes():
+    assert C.consistent("раураl") == "paypal" and C.consistent("The раураl site") == "The paypal site"
+    assert C.consistent("ΑΒС") != "ΑΒС"
+    assert C.consistent("Новая рacа") == "Новая раса"
+
+
+def test_found_by_class(spark):
+    d = spark.createDataFrame([(1, 0, "plain data"), (2, 0, "d\u0430ta here"), (3, 0, "da\u200bta"), (4, 0, "a\u00a0b"), (5, 0, None), (6, 0, ""), (7, 0, "Новая")], "section_id long, item_no int, text string")
+    got = C.found_items(C.consistent_items(d, ["section_id", "item_no"], "text"), ["section_id", "item_no"])
+    assert sorted(r.section_id for r in got.collect()) == [2, 3, 4]
+
+
 # problem 5 ------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("parts", [
     ["Our tensor per Dr. Calder on page 2.", " The J. R. Ri argues.", " At approx. 22.5 ms.", " Our “Does it hold?” was asked.", " It ends etc.", " eSort x.", " See Fig. 25.", "  The end.", "Every x at 9 p.m"],
