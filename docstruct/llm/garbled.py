@@ -6,7 +6,9 @@ corpus says how likely a line is as it stands and with a chain undone; how
 usual each chain is in a source and field is learned from all its lines by EM,
 so that weak evidence in one line is helped by its fellows. The character model
 is part of the maximization: what the first round finds garbled is taken out of
-its counts before the second. Each line is then repaired by its posterior.
+its counts, and the second round reads the whole corpus again. Each line is then
+repaired by its posterior. No line with any evidence for a chain is left out, and
+none of its chains.
 """
 
 from __future__ import annotations
@@ -42,8 +44,6 @@ CHAIN_NAMES = [", then ".join(f"{e} read as {d}" for e, d in steps) for steps in
 _SLOTS, _CHARS = 1 << 20, 1 << 16
 #: Share of the words of a garbled line that are garbled themselves; the rest may be as they were.
 WORD_SHARE = 0.7
-#: Evidence (natural logarithm) from which a line is kept as a candidate.
-LEAST_EVIDENCE = 1.0
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})+")
 
 
@@ -200,11 +200,13 @@ class Evidence:
             total[c] = sum(s for known in words for k, s in known if k == c)
         return total
 
-    def top(self, line: str) -> tuple[int, float, int, float]:
-        """The two chains with most evidence and their evidence, -1 and 0 where there is none."""
-        best = sorted(((s, -c) for c, s in self.line(line).items() if s > 0), reverse=True)[:2]
-        best += [(0.0, 1)] * (2 - len(best))
-        return -best[0][1], best[0][0], -best[1][1], best[1][0]
+    def chains(self, line: str) -> tuple[list[int], list[float]]:
+        """The chains with evidence for them and their evidence; of chains that give the same text the first."""
+        same: dict[str, tuple[int, float]] = {}
+        for c, s in sorted(self.line(line).items()):
+            if s > 0:
+                same.setdefault(self.repair(line, c) if c != LOST else "�", (c, s))
+        return [c for c, _ in same.values()], [s for _, s in same.values()]
 
     def repair(self, line: str, chain: int) -> str:
         """The line with ``chain`` undone in the words that gain by it."""
@@ -244,63 +246,45 @@ def _count(texts: DataFrame) -> pd.DataFrame:
     return texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
 
 
-def _em(group: pd.DataFrame, n_lines: float, rounds: int = 30) -> np.ndarray:
-    """Shares of the chains among a source's lines; ``group``: c1, s1, c2, s2, n of its candidates."""
-    c = group[["c1", "c2"]].to_numpy().astype(int)
-    s = np.where(c >= 0, group[["s1", "s2"]].to_numpy().astype(float), -1e9)
-    n = group["n"].to_numpy().astype(float)
-    like = np.exp(np.minimum(s, 60.0))
-    like[c < 0] = 0
+def _em(chains: list, evidence: list, n: np.ndarray, n_lines: float, rounds: int = 30) -> np.ndarray:
+    """Shares of the chains among the lines of a group: ``n`` lines with these chains and evidence, of ``n_lines`` in all."""
+    widest = max(map(len, chains))
+    c = np.zeros((len(chains), widest), int)
+    like = np.zeros((len(chains), widest))
+    for k, (x, s) in enumerate(zip(chains, evidence)):
+        c[k, : len(x)] = x
+        like[k, : len(x)] = np.exp(np.minimum(s, 60.0))
     share = np.full(LOST + 1, 0.01 / (LOST + 1))
     for _ in range(rounds):
         clean = max(1e-6, 1 - share.sum())
-        p = share[np.maximum(c, 0)] * like
+        p = share[c] * like
         p /= (p.sum(1) + clean)[:, None]
-        new = np.bincount(np.maximum(c, 0).ravel(), (p * n[:, None]).ravel(), LOST + 1)
+        new = np.bincount(c.ravel(), (p * n[:, None]).ravel(), LOST + 1)
         share = (new + 0.01) / (n_lines + 1.0)  # a weak prior keeps every chain possible
         share *= min(1.0, 0.98 / share.sum())
     return share
 
 
-def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every garbled line: ``key``, line_no, chain, posterior, is_restored, line, restored.
+def find_garbled(docs: DataFrame, key: str = "doc_id", text: str | list[str] = "text", source: str = "source") -> DataFrame:
+    """Every garbled line: ``key``, field_name, line_no, chain, posterior, is_restored, line, restored.
 
-    Lines are parted by U+000A only and counted from 0. A null or empty text has
-    no line; a null source is a source of its own; repeated rows repeat their
-    lines. A line with replacement characters is found but not restored.
-    ``restored`` is the line itself where nothing can be had. The corpus is read
-    twice in full; only candidate lines (those with any evidence) are written
-    down between the rounds. What reaches the driver is of fixed size: the
-    character tables.
+    ``text`` is one field or several; what is usual is learned for each source
+    and field. Lines are parted by U+000A only and counted from 0. A null or empty
+    text has no line; a null source is a source of its own; repeated rows repeat
+    their lines. A line with replacement characters is found but not restored.
+    ``restored`` is the line itself where nothing can be had. What reaches the
+    driver is of fixed size: the character tables.
     """
     spark = docs.sparkSession
     key_type = docs.schema[key].dataType
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
-    base = spread(base)
+    fields = [text] if isinstance(text, str) else list(text)
+    whose = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    stacked = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])
+    base = spread(docs.select(F.col(key).alias("key"), whose.alias("source"), F.inline(stacked)).filter(F.length("text") > 0))
     pairs, chars = _tables(_count(base.select("text")))
     first = spark.sparkContext.broadcast((pairs, chars))
-    schema = T.StructType([T.StructField("key", key_type), T.StructField("source", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("c1", T.IntegerType()), T.StructField("s1", T.DoubleType()), T.StructField("c2", T.IntegerType()), T.StructField("s2", T.DoubleType())])
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.float64()]
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(CharModel(*first.value))
-        for batch in batches:
-            rows, out = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if not t or t.isascii():
-                    continue
-                for no, line in enumerate(t.split("\n")):
-                    if not line.isascii():
-                        top = evidence.top(line)
-                        if top[1] > LEAST_EVIDENCE:
-                            rows.append(i)
-                            out.append((no, line, *top))
-            take = pa.array(rows, pa.int64())
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *(pa.array(v, k) for v, k in zip(cols, kinds))], names=schema.names)
-
-    found = cut(base.mapInArrow(candidates, schema))
-    n_lines = base.filter(F.length("text") > 0).groupBy("source").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    n_lines = base.groupBy("source", "field_name").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    found = cut(_evidence(base, key_type, first))
     shares = _shares(found, n_lines)
 
     # second round: the lines found garbled, and those that are valid UTF-8 when read
@@ -309,48 +293,71 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     garbled = _posterior(found, shares).filter((F.col("posterior") >= 0.5) | F.col("chain").isin(utf8))
     less_pairs, less_chars = _tables(_count(garbled.select("line")))
     second = spark.sparkContext.broadcast((pairs - less_pairs, chars - less_chars))
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(CharModel(*second.value))
-        for batch in batches:
-            tops = list(zip(*(evidence.top(line) for line in batch.column(3).to_pylist()))) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *(pa.array(v, k) for v, k in zip(tops, kinds[2:]))], names=schema.names)
-
-    scored = found.mapInArrow(again, schema)
+    scored = cut(_evidence(base, key_type, second))
     final = _posterior(scored, _shares(scored, n_lines)).filter("posterior >= 0.5")
     names = F.array(*[F.lit(n) for n in CHAIN_NAMES])
-    out_schema = T.StructType([T.StructField("key", key_type), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("chain", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("restored", T.StringType())])
+    out_schema = T.StructType([T.StructField("key", key_type), T.StructField("field_name", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("chain", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("restored", T.StringType())])
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(CharModel(*second.value))
         for batch in batches:
-            fixed = [evidence.repair(line, c) for line, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(fixed, pa.string())], names=out_schema.names)
+            fixed = [evidence.repair(line, c) for line, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(fixed, pa.string())], names=out_schema.names)
 
-    done = final.select("key", "line_no", "line", "chain", "posterior").mapInArrow(repair, out_schema)
+    done = final.select("key", "field_name", "line_no", "line", "chain", "posterior").mapInArrow(repair, out_schema)
     restored = (F.col("chain") != LOST) & ~F.col("restored").contains("�") & (F.col("restored") != F.col("line"))
-    return done.select(F.col("key").alias(key), "line_no", names[F.col("chain")].alias("chain"), "posterior", restored.alias("is_restored"), "line", "restored")
+    return done.select(F.col("key").alias(key), "field_name", "line_no", names[F.col("chain")].alias("chain"), "posterior", restored.alias("is_restored"), "line", "restored")
+
+
+def _evidence(base: DataFrame, key_type: T.DataType, tables) -> DataFrame:
+    """key, source, field_name, line_no, line, chains, evidence of every line that has any evidence."""
+    schema = T.StructType([
+        T.StructField("key", key_type), T.StructField("source", T.StringType()), T.StructField("field_name", T.StringType()), T.StructField("line_no", T.IntegerType()),
+        T.StructField("line", T.StringType()), T.StructField("chains", T.ArrayType(T.IntegerType())), T.StructField("evidence", T.ArrayType(T.DoubleType())),
+    ])
+    kinds = [pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(CharModel(*tables.value))
+        for batch in batches:
+            rows, out = [], []
+            for i, t in enumerate(batch.column(3).to_pylist()):
+                if t.isascii():
+                    continue
+                for no, line in enumerate(t.split("\n")):
+                    if not line.isascii():
+                        chains, weights = evidence.chains(line)
+                        if chains:
+                            rows.append(i)
+                            out.append((no, line, chains, weights))
+            take = pa.array(rows, pa.int64())
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), *(pa.array(v, k) for v, k in zip(cols, kinds))], names=schema.names)
+
+    return base.select("key", "source", "field_name", "text").mapInArrow(run, schema)
 
 
 def _shares(found: DataFrame, n_lines: DataFrame) -> DataFrame:
-    """source, shares: EM per source over a histogram of its candidates' evidence in whole units.
+    """source, field_name, shares: EM per source and field over a histogram of its lines' chains and evidence in whole units.
 
-    The histogram is what one task gets of a source; its rows are bounded by the
-    number of chains and units, not by the lines.
+    The histogram is what one task gets of a source; its rows are the kinds of
+    lines, counted before the shuffle, not the lines.
     """
-    whole = lambda c: F.least(F.round(c), F.lit(40.0)).alias(c)
-    hist = found.groupBy("source", "c1", whole("s1"), "c2", whole("s2")).agg(F.count("*").alias("n")).join(n_lines, "source")
+    whole = F.transform("evidence", lambda s: F.least(F.round(s), F.lit(40.0)))
+    hist = found.groupBy("source", "field_name", "chains", whole.alias("evidence")).agg(F.count("*").alias("n")).join(n_lines, ["source", "field_name"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "shares": [_em(pdf, float(pdf["n_lines"].iloc[0])).tolist()]})
+        shares = _em(pdf["chains"].tolist(), pdf["evidence"].tolist(), pdf["n"].to_numpy(float), float(pdf["n_lines"].iloc[0]))
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "field_name": [pdf["field_name"].iloc[0]], "shares": [shares.tolist()]})
 
-    return hist.groupBy("source").applyInPandas(run, "source string, shares array<double>")
+    return hist.groupBy("source", "field_name").applyInPandas(run, "source string, field_name string, shares array<double>")
 
 
 def _posterior(found: DataFrame, shares: DataFrame) -> DataFrame:
     """``found`` with the likeliest chain and the probability that the line is garbled at all."""
-    j = found.join(shares, "source")
-    part = lambda c, s: F.when(F.col(c) >= 0, F.try_element_at("shares", F.col(c) + 1) * F.exp(F.least(F.col(s), F.lit(300.0)))).otherwise(F.lit(0.0))
+    j = found.join(shares, ["source", "field_name"])
+    weights = F.zip_with("chains", "evidence", lambda c, s: F.struct((F.try_element_at("shares", c + 1) * F.exp(F.least(s, F.lit(300.0)))).alias("p"), (-c).alias("minus")))
     clean = F.greatest(F.lit(1e-6), 1 - F.aggregate("shares", F.lit(0.0), lambda a, x: a + x))
-    j = j.withColumns({"p1": part("c1", "s1"), "p2": part("c2", "s2")})
-    return j.select("key", "source", "line_no", "line", F.when(F.col("p2") > F.col("p1"), F.col("c2")).otherwise(F.col("c1")).alias("chain"), ((F.col("p1") + F.col("p2")) / (F.col("p1") + F.col("p2") + clean)).alias("posterior"))
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x["p"])
+    j = j.withColumn("weights", weights)
+    return j.select("key", "field_name", "line_no", "line", (-F.array_max("weights")["minus"]).alias("chain"), (total / (total + clean)).alias("posterior"))
