@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,6 +169,7 @@ class Evidence:
     def __init__(self, model: CharModel, keep: int = 200_000):
         self.model, self.keep = model, keep
         self.words: dict[str, tuple] = {}
+        self.lines: dict[str, tuple[list[int], list[float]]] = {}
 
     def word(self, w: str) -> tuple[tuple[int, float], ...]:
         known = self.words.get(w)
@@ -195,18 +197,40 @@ class Evidence:
     def line(self, line: str) -> dict[int, float]:
         """Summed evidence of the chains some word speaks for; words that lose by a chain speak against it."""
         total: dict[int, float] = {}
-        words = [self.word(w) for w in line.split(" ") if not w.isascii()]
-        for c in {c for known in words if known for c, s in known if s > 0}:
-            total[c] = sum(s for known in words for k, s in known if k == c)
-        return total
+        gains: set[int] = set()
+        for w in line.split(" "):
+            if not w.isascii():
+                for c, s in self.word(w):
+                    total[c] = total.get(c, 0.0) + s
+                    if s > 0:
+                        gains.add(c)
+        return {c: total[c] for c in gains}
 
     def chains(self, line: str) -> tuple[list[int], list[float]]:
         """The chains with evidence for them and their evidence; of chains that give the same text the first."""
-        same: dict[str, tuple[int, float]] = {}
-        for c, s in sorted(self.line(line).items()):
-            if s > 0:
-                same.setdefault(self.repair(line, c) if c != LOST else "�", (c, s))
-        return [c for c, _ in same.values()], [s for _, s in same.values()]
+        known = self.lines.get(line)  # lines recur in many texts
+        if known is None:
+            if len(self.lines) > self.keep // 4:
+                self.lines.clear()
+            known = self.lines[line] = self._chains(line)
+        return known
+
+    def _chains(self, line: str) -> tuple[list[int], list[float]]:
+        found = sorted((c, s) for c, s in self.line(line).items() if s > 0)
+        if len(found) > 1:
+            # equal texts have equal evidence: only those are written out
+            often = Counter(s for _, s in found)
+            seen: set[tuple[float, str]] = set()
+            kept = []
+            for c, s in found:
+                if often[s] > 1:
+                    it = (s, self.repair(line, c))
+                    if it in seen:
+                        continue
+                    seen.add(it)
+                kept.append((c, s))
+            found = kept
+        return [c for c, _ in found], [s for _, s in found]
 
     def repair(self, line: str, chain: int) -> str:
         """The line with ``chain`` undone in the words that gain by it."""
@@ -343,7 +367,9 @@ def _shares(found: DataFrame, n_lines: DataFrame) -> DataFrame:
     The histogram is what one task gets of a source; its rows are the kinds of
     lines, counted before the shuffle, not the lines.
     """
-    whole = F.transform("evidence", lambda s: F.least(F.round(s), F.lit(40.0)))
+    # the best chain's evidence up to 40, the others' as far below it as they are
+    most = F.array_max("evidence")
+    whole = F.transform("evidence", lambda s: F.round(F.greatest(s - most, F.lit(-40.0)) + F.least(most, F.lit(40.0))))
     hist = found.groupBy("source", "field_name", "chains", whole.alias("evidence")).agg(F.count("*").alias("n")).join(n_lines, ["source", "field_name"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -356,8 +382,10 @@ def _shares(found: DataFrame, n_lines: DataFrame) -> DataFrame:
 def _posterior(found: DataFrame, shares: DataFrame) -> DataFrame:
     """``found`` with the likeliest chain and the probability that the line is garbled at all."""
     j = found.join(shares, ["source", "field_name"])
-    weights = F.zip_with("chains", "evidence", lambda c, s: F.struct((F.try_element_at("shares", c + 1) * F.exp(F.least(s, F.lit(300.0)))).alias("p"), (-c).alias("minus")))
-    clean = F.greatest(F.lit(1e-6), 1 - F.aggregate("shares", F.lit(0.0), lambda a, x: a + x))
-    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x["p"])
+    # relative to the line's most evidence, so that no difference is lost
+    most = F.array_max("evidence")
+    weights = F.zip_with("chains", "evidence", lambda c, s: F.struct((F.log(F.try_element_at("shares", c + 1)) + s).alias("p"), (-c).alias("minus")))
+    clean = F.greatest(F.lit(1e-6), 1 - F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)) * F.exp(-most)
+    total = F.aggregate(F.transform("weights", lambda w: F.exp(w["p"] - most)), F.lit(0.0), lambda a, x: a + x)
     j = j.withColumn("weights", weights)
     return j.select("key", "field_name", "line_no", "line", (-F.array_max("weights")["minus"]).alias("chain"), (total / (total + clean)).alias("posterior"))
