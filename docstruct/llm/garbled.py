@@ -171,7 +171,8 @@ class Evidence:
         self.words: dict[str, tuple] = {}
         self.lines: dict[str, tuple[list[int], list[float]]] = {}
 
-    def word(self, w: str) -> tuple[tuple[int, float], ...]:
+    def word(self, w: str) -> tuple[tuple[int, float, str], ...]:
+        """Chain, evidence and the word with the chain undone, of the chains that can be undone."""
         known = self.words.get(w)
         if known is None:
             if len(self.words) > self.keep:
@@ -179,9 +180,9 @@ class Evidence:
             known = self.words[w] = self._word(w)
         return known
 
-    def _word(self, w: str) -> tuple[tuple[int, float], ...]:
+    def _word(self, w: str) -> tuple[tuple[int, float, str], ...]:
         if "�" in w:
-            return ((LOST, 60.0),)
+            return ((LOST, 60.0, w),)
         out, base, memo = [], None, {}
         for c in _possible(w):
             t = undo(w, c)
@@ -191,7 +192,7 @@ class Evidence:
                 base = self.model.score(w, 1)
             if t not in memo:
                 memo[t] = math.log1p(WORD_SHARE * (math.exp(min(50.0, self.model.score(t) - base)) - 1))
-            out.append((c, memo[t]))
+            out.append((c, memo[t], t))
         return tuple(out)
 
     def line(self, line: str) -> dict[int, float]:
@@ -200,7 +201,7 @@ class Evidence:
         gains: set[int] = set()
         for w in line.split(" "):
             if not w.isascii():
-                for c, s in self.word(w):
+                for c, s, _ in self.word(w):
                     total[c] = total.get(c, 0.0) + s
                     if s > 0:
                         gains.add(c)
@@ -218,26 +219,28 @@ class Evidence:
     def _chains(self, line: str) -> tuple[list[int], list[float]]:
         found = sorted((c, s) for c, s in self.line(line).items() if s > 0)
         if len(found) > 1:
-            # equal texts have equal evidence: only those are written out
+            # equal texts have equal evidence: only those are compared
             often = Counter(s for _, s in found)
-            seen: set[tuple[float, str]] = set()
-            kept = []
-            for c, s in found:
-                if often[s] > 1:
-                    it = (s, self.repair(line, c))
-                    if it in seen:
-                        continue
-                    seen.add(it)
-                kept.append((c, s))
-            found = kept
+            if len(often) < len(found):
+                words = [self.word(w) for w in line.split(" ") if not w.isascii()]
+                seen: set[tuple] = set()
+                kept = []
+                for c, s in found:
+                    if often[s] > 1:
+                        it = (s, *(next((t for d, gain, t in known if d == c and gain > 0), "") for known in words if known))
+                        if it in seen:
+                            continue
+                        seen.add(it)
+                    kept.append((c, s))
+                found = kept
         return [c for c, _ in found], [s for _, s in found]
 
     def repair(self, line: str, chain: int) -> str:
         """The line with ``chain`` undone in the words that gain by it."""
         if chain == LOST:
             return line
-        gain = lambda w: any(c == chain and s > 0 for c, s in self.word(w))
-        return " ".join(undo(w, chain) if not w.isascii() and gain(w) else w for w in line.split(" "))
+        undone = lambda w: next((t for c, s, t in self.word(w) if c == chain and s > 0), w)
+        return " ".join(w if w.isascii() else undone(w) for w in line.split(" "))
 
 
 def _tables(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
