@@ -56,13 +56,6 @@ _HALF = regex.compile(r"[\p{L}\p{M}\p{N}@$|!'’-]*\Z")
 _HEADLINE = regex.compile(r"[^.!?]*[^.!?,;-]")
 
 
-def norm_line(line: str) -> str:
-    """A line as a running header is compared: no case, no number at its ends, confused characters alike."""
-    t = regex.sub(r"^[\W\d]+|[\s\d\W]+$", "", line.lower())
-    t = regex.sub(r"rn", "m", regex.sub(r"cl", "d", regex.sub(r"ri", "n", t)))
-    return t.translate(str.maketrans("1l|!05@ceqfa", "iiiiosaoogto"))
-
-
 class Lexicon:
     """The usual words of the corpus and the parts before a hyphen; asks for misreadings are remembered up to a bound."""
 
@@ -230,7 +223,7 @@ def line_shape(line: str, recurring: bool) -> int:
     t = line.strip()
     if not t:
         return 0
-    if len(t) < 24 and _NUMBER.fullmatch(t) and _HAS_DIGIT.search(t):
+    if len(t) < NUMBER_CHARS and _NUMBER.fullmatch(t) and _HAS_DIGIT.search(t):
         return 1
     if recurring:
         return 2
@@ -486,6 +479,12 @@ def misread_words(tokens: DataFrame, counts: DataFrame, lexicon, channel) -> Dat
     return cut(met.groupBy("token").agg(F.collect_list(F.struct("part", "slips", "place", "chance", "word", "n_text")).alias("found")).mapInArrow(settle, "token string, word string, place int"))
 
 
+#: A running header has at most so many characters and words and at least so many letters; page numbers are shorter than that.
+HEADER_CHARS, HEADER_WORDS, HEADER_LETTERS, NUMBER_CHARS = 80, 9, 8, 24
+#: Rounds of Viterbi training, each over all lines.
+TRAINING_ROUNDS = 2
+
+
 def _recurring(sections: DataFrame) -> DataFrame:
     """section_id, lines (item_no, line_no): short lines that recur within their paper between different lines.
 
@@ -501,7 +500,7 @@ def _recurring(sections: DataFrame) -> DataFrame:
 
     all_lines = F.split("text", "\n")
     # a header begins with a capital, or a letter of a script without case
-    short = lambda x: (F.length(x) <= 80) & x.rlike(r"^[^\p{L}]*[\p{Lu}\p{Lt}\p{Lo}]") & ~x.rlike(r"[-.,;:]\s*$") & x.rlike(r"\p{L}{3}") & ~x.rlike(r"(?:\S+\s+){9}\S")
+    short = lambda x: (F.length(x) <= HEADER_CHARS) & x.rlike(r"^[^\p{L}]*[\p{Lu}\p{Lt}\p{Lo}]") & ~x.rlike(r"[-.,;:]\s*$") & x.rlike(r"\p{L}{3}") & ~x.rlike(rf"(?:\S+\s+){{{HEADER_WORDS}}}\S")
     near = lambda i: F.translate(F.lower(F.get(all_lines, i)), "0123456789", "")
     placed = F.transform(all_lines, lambda x, i: F.when(short(x), F.struct(i.alias("line_no"), x.alias("line"), F.xxhash64(near(i - 1), near(i + 1)).alias("between"))))
     same = Window.partitionBy("paper_id", "k")
@@ -510,7 +509,7 @@ def _recurring(sections: DataFrame) -> DataFrame:
         .filter(F.col("text").contains("\n"))
         .select("paper_id", "section_id", "item_no", F.inline(F.filter(placed, lambda s: s.isNotNull())))
         .select("paper_id", "section_id", "item_no", "line_no", plain(F.col("line")).alias("k"), "between")
-        .filter(F.length("k") >= 8)
+        .filter(F.length("k") >= HEADER_LETTERS)
         .withColumns({"least": F.min("between").over(same), "most": F.max("between").over(same)})
         .filter("least <> most")
     )
@@ -619,11 +618,11 @@ def _observations(batch: pa.RecordBatch, first: int = 0) -> Iterator[list[tuple[
         yield list(zip(shapes, layouts, ends))
 
 
-def _train(contents: DataFrame, pages: DataFrame, lexicon) -> np.ndarray:
-    """One round of Viterbi training over all lines; a table of fixed size comes back."""
+def _train(contents: DataFrame, pages: DataFrame, lexicon, before: np.ndarray | None = None) -> np.ndarray:
+    """One round of Viterbi training over all lines, with the counts of the round ``before``; a table of fixed size comes back."""
 
     def total(sequences: Iterator[list]) -> pa.RecordBatch:
-        model = LineModel()
+        model = LineModel(before)
         counts = np.zeros(model.size)
         for seen in sequences:
             model.count(seen, model.label(seen), counts)
@@ -671,7 +670,9 @@ class OcrRepair:
         self.channel = spark.sparkContext.broadcast(Channel(_measure(self.word_counts, self.lexicon), least))
         self.contents = cut(_content_rows(sections))
         self.pages = _observed_pages(words, self.lexicon)
-        self.counts = _train(self.contents, self.pages, self.lexicon)
+        self.counts = None
+        for _ in range(TRAINING_ROUNDS):
+            self.counts = _train(self.contents, self.pages, self.lexicon, self.counts)
 
     def _misread(self, tokens: DataFrame) -> DataFrame:
         return misread_words(tokens, self.word_counts, self.lexicon, self.channel)

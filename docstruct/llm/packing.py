@@ -79,7 +79,7 @@ def pack(items: DataFrame, profiles: list[tuple[str, int]], key: str, size: str,
     items are never cut. A null size counts as 0; an item of size 0 takes no
     space and goes to the fullest open container. Repeated rows are items of
     their own. Items go to ``n_shards`` shards by the hash of key and size and are packed in the order of key and size, so
-    the result does not depend on how the input is partitioned.
+    the result does not depend on how the input is partitioned; equal rows share a shard.
     """
     key_type = items.schema[key].dataType
     schema = T.StructType([
@@ -108,7 +108,7 @@ def pack(items: DataFrame, profiles: list[tuple[str, int]], key: str, size: str,
         out["container_id"] += int(shard) << 32
         return out
 
-    shard = F.pmod(F.xxhash64(F.col(key)), F.lit(n_shards)).cast("int")
+    shard = F.pmod(F.xxhash64(F.col(key), F.coalesce(F.col(size).cast("long"), F.lit(0))), F.lit(n_shards)).cast("int")
     names = F.array(*[F.lit(n) for n, _ in profiles])
     return (
         items.select(F.col(key).alias("item_key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("item_size"), shard.alias("shard"))

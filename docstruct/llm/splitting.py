@@ -1,11 +1,12 @@
 """Problem 4: oversized texts cut at natural boundaries by structure-tree packing.
 
-A text is read as a tree: blocks parted by blank lines or opened by a heading,
-list items and lines in a block, sentences in a line, clauses in a sentence,
-words in a clause, characters in a word. Only a node larger than the limit is
-opened; the pieces of its children are merged bottom-up, neighbour to
-neighbour, as long as they fit. Levels are opened lazily, so a text costs time
-in proportion to its length.
+A text is read as a tree: sections under headings of six depths, blocks parted
+by blank lines, list items nested by their indent, lines, sentences, clauses,
+words, characters. Only a node larger than the limit is opened. Bottom-up,
+neighbouring siblings that are whole are merged as long as they fit; what an
+opened node gave is not merged with its siblings, so no piece joins the end of
+one section with the beginning of the next. Levels are opened lazily, so a text
+costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ from docstruct.llm.sections_io import paragraphs
 from docstruct.scale import config_rows
 
 #: Where the children of a node begin, from the top of the tree to its leaves: the end of each match is a cut.
+_ITEM = r"(?:[-*•–]|\(?\d+[.)]|\(?\p{Ll}[.)])\s"
 LEVELS = [
-    regex.compile(r"\n[^\S\n]*(?:\n\s*)+|\n(?=#{1,6}\s|\d+(?:\.\d+)*\.?\s+\p{Lu}[^.\n]{0,80}\n)"),  # blocks and headings
-    regex.compile(r"\n(?=\s*(?:[-*•–]|\(?\d+[.)]|\(?\p{Ll}[.)])\s)"),  # list items
+    # headings: marked by signs, or numbered and alone on their line
+    *(regex.compile(rf"\n(?=#{{{d}}}\s|\d+(?:\.\d+){{{d - 1}}}\.?\s+\p{{Lu}}[^.\n]{{0,80}}\n)") for d in range(1, 7)),
+    regex.compile(r"\n[^\S\n]*(?:\n\s*)+"),  # blocks
+    # list items by their indent
+    *(regex.compile(rf"\n(?=[ \t]{{{a},{b}}}{_ITEM})") for a, b in ((0, 1), (2, 3), (4, 5), (6, 1000))),
     regex.compile(r"\n"),  # lines
     regex.compile(r"""[.!?…؟।]+["'”’»“)\]]*(?:\[\d+\])*\s+(?=\P{Ll})|[。！？]+[」』”）]*"""),  # sentences
     regex.compile(r"[,;:،؛]\s+|[、，；：]|\s[–—]\s"),  # clauses
@@ -51,12 +56,14 @@ def _pack(text: str, a: int, b: int, level: int, first: int, limit: int) -> list
         return out
     marks = [a, *_children(text, a, b, level), b]
     out: list[tuple[int, int]] = []
+    whole = False  # whether the last piece is made of whole siblings
     for s, e in zip(marks, marks[1:]):
-        for piece in _pack(text, s, e, level + 1, first, limit):
-            if out and piece[1] - out[-1][0] <= room(out[-1][0]):
-                out[-1] = (out[-1][0], piece[1])
-            else:
-                out.append(piece)
+        if whole and e - out[-1][0] <= room(out[-1][0]):
+            out[-1] = (out[-1][0], e)
+            continue
+        pieces = _pack(text, s, e, level + 1, first, limit)
+        whole = len(pieces) == 1
+        out += pieces
     return out
 
 
@@ -65,6 +72,8 @@ def split_text(text: str, capacity: int, overlap: int) -> list[tuple[int, int]]:
     if not 0 <= overlap < capacity:
         raise ValueError("overlap must be at least 0 and smaller than the capacity")
     spans = _pack(text, 0, len(text), 0, capacity, capacity - overlap)
+    while len(spans) > 1 and spans[0][1] < overlap:  # too short to be repeated: the next one always fits beside it
+        spans[:2] = [(0, spans[1][1])]
     return [(max(0, s - overlap) if k else s, e) for k, (s, e) in enumerate(spans)]
 
 

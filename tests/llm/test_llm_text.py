@@ -70,6 +70,18 @@ def test_split_is_natural():
     assert P.split_text("short", 10, 2) == [(0, 5)]
 
 
+def test_split_follows_the_tree():
+    part = lambda n: "Some words. " * n
+    text = "# A\n" + part(5) + "\n## A.1\n" + part(5) + "\n# B\n" + part(2) + "\n- x\n  - y\n- z"
+    cuts = [text[s:e] for s, e in P.split_text(text, 90, 0)]
+    assert "".join(cuts) == text and [c[:5] for c in cuts] == ["# A\nS", "## A.", "# B\nS"]
+    # an opened section's end is not joined with the next section
+    text = "# A\n" + part(12) + "\n# B\n" + part(1)
+    assert any(text[s:].startswith("# B") for s, _ in P.split_text(text, 80, 0))
+    items = "- one " + "a" * 30 + "\n  - sub " + "b" * 20 + "\n- two " + "c" * 30
+    assert [items[s:e][:5] for s, e in P.split_text(items, 70, 0)] == ["- one", "- two"]
+
+
 def test_split_rows(spark):
     d = spark.createDataFrame([(1, 0, "a " * 50), (1, 1, None), (2, 0, ""), (3, 0, "b")], "section_id long, item_no int, text string")
     rows = P.split_oversized(d, ["section_id", "item_no"], "text", 30, 5).collect()
