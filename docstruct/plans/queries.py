@@ -353,7 +353,9 @@ def column_order(spark, d):
     return layout.column_order(c.blocks, layout.column_counts(c.blocks, c.pages, c.titles)).select("paper_id", "page_number", "block_idx", "place")
 
 
-@query()
+@query("""WITH RECURSIVE lv AS (SELECT l_orderkey AS page_id, 50.0 AS x1, CAST(l_linenumber * 40 AS DOUBLE) AS y, 50.0 + CAST(l_quantity AS DOUBLE) * 8 AS x2, floor(CAST(l_quantity AS DOUBLE) * 8) AS len FROM lineitem WHERE floor(CAST(l_quantity AS DOUBLE) * 8) >= 153),
+ky AS (SELECT page_id, min(len) AS k FROM lv GROUP BY page_id UNION ALL SELECT page_id, k FROM (SELECT ky.page_id, min(lv.len) AS k FROM ky JOIN lv ON lv.page_id = ky.page_id AND lv.len >= ky.k + 3 GROUP BY ky.page_id, ky.k))
+SELECT page_id, x1, y1, x2, y2 FROM (SELECT lv.page_id, k, count(*) n, min(x1) x1, min(y) y1, max(x2) x2, max(y) y2 FROM lv JOIN ky ON lv.page_id = ky.page_id AND lv.len >= k AND lv.len - k < 3 GROUP BY lv.page_id, k) WHERE n >= 3 AND (x2 - x1) * (y2 - y1) / (612.0 * 792.0) <= 0.5""")
 def ruling_tables(spark, d):
     li = table(spark, d, "lineitem")
     y = (F.col("l_linenumber") * 40).cast("double")
@@ -490,22 +492,59 @@ def merge_sections(spark, d):
     return references.merge_titles(titles, listed, 1, 3)
 
 
-@query("""SELECT DISTINCT ref_id, CASE WHEN ref_id % 4 IN (0, 1) THEN 1 ELSE 0 END AS n, CASE WHEN ref_id % 4 IN (0, 1) THEN title END AS title, CASE WHEN ref_id % 4 IN (0, 1) THEN pub_year END AS year FROM bib_entries""")
+# answers a model may give, by ref_id % 10: only the first two are an array of records and nothing else, or one inside other text
+@query("""SELECT DISTINCT ref_id, CASE WHEN ref_id % 10 IN (0, 1) THEN 1 ELSE 0 END AS n, CASE WHEN ref_id % 10 IN (0, 1) THEN title END AS title, CASE WHEN ref_id % 10 IN (0, 1) THEN pub_year END AS year FROM bib_entries""")
 def references_json(spark, d):
     b = table(spark, d, "bib_entries").select("ref_id", "title", "pub_year").distinct()
     good = F.to_json(F.array(F.struct("title", F.col("pub_year").alias("year"), F.lit(1).alias("unknown"))))
     bad_year = F.to_json(F.array(F.struct("title", F.lit("next year").alias("year"))))
-    text = F.when(F.col("ref_id") % 4 == 0, good).when(F.col("ref_id") % 4 == 1, F.concat(F.lit("Here they are: "), good, F.lit(" done"))).when(F.col("ref_id") % 4 == 2, bad_year).otherwise(F.lit("none"))
-    r = b.select("ref_id", references.parse_references(text).alias("r"))
+    bad = ['[{"title": 5}]', '[{"authors": ["a", 3]}]', '[{"doi": {"x": 1}}]', '{"title": "a"}', '[{"year": 2020.5}]', '[{"title": "a"}] and [{"title": "b"}]', "none"]
+    kinds = [good, F.concat(F.lit("Here they are: "), good, F.lit(" done")), bad_year, *map(F.lit, bad)]
+    r = b.select("ref_id", references.parse_references(F.element_at(F.array(*kinds), (F.col("ref_id") % 10).cast("int") + 1)).alias("r"))
     return r.select("ref_id", F.size("r").alias("n"), F.try_element_at("r", F.lit(1))["title"].alias("title"), F.try_element_at("r", F.lit(1))["year"].alias("year"))
 
 
-@query("SELECT DISTINCT section_id, CASE WHEN section_id % 3 = 2 THEN [] ELSE ['Abstract', title] END AS titles FROM sections WHERE title IS NOT NULL")
+@query("SELECT DISTINCT section_id, CASE WHEN section_id % 6 > 1 THEN [] ELSE ['Abstract', title] END AS titles FROM sections WHERE title IS NOT NULL")
 def llm_titles_json(spark, d):
     s = table(spark, d, "sections").filter("title IS NOT NULL").select("section_id", "title").distinct()
     js = F.to_json(F.array(F.lit("Abstract"), "title"))
-    text = F.when(F.col("section_id") % 3 == 0, js).when(F.col("section_id") % 3 == 1, F.concat(F.lit("Sure: "), js, F.lit(" ok"))).otherwise(F.lit("sorry"))
-    return s.select("section_id", references.parse_title_list(text).alias("titles"))
+    kinds = [js, F.concat(F.lit("Sure: "), js, F.lit(" ok")), F.lit("sorry"), F.lit('["A", 3]'), F.lit('["A"] and ["B"]'), F.lit('["A", null]')]
+    return s.select("section_id", references.parse_title_list(F.element_at(F.array(*kinds), (F.col("section_id") % 6).cast("int") + 1)).alias("titles"))
+
+
+def _xhtml(spark: SparkSession, d: str) -> DataFrame:
+    """Layout XHTML as page tools print it, made of the words: path, text."""
+    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    num = lambda c: F.col(c).cast("double")
+    w = table(spark, d, "words").filter(X.trim_white(F.col("text")) != "").dropDuplicates(["paper_id", "page_number", "block_idx", "line_idx", "word_idx"])
+    box = [F.lit('<word xMin="'), num("x").cast("string"), F.lit('" yMin="'), num("y").cast("string"), F.lit('" xMax="'), (num("x") + num("width")).cast("string"), F.lit('" yMax="'), (num("y") + num("height")).cast("string"), F.lit('">')]
+    rows = w.select(*layout.LINE, "word_idx", F.concat(*box, esc, F.lit("</word>")).alias("t"))
+    for level, tag in (("word_idx", "line"), ("line_idx", "block"), ("block_idx", 'page width="612.0" height="792.0"'), ("page_number", "doc")):
+        keys = [c for c in rows.columns if c not in (level, "t")]
+        inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(level, "t"))), lambda s: s["t"]), "\n")
+        rows = rows.groupBy(*keys).agg(F.concat(F.lit(f"<{tag}>"), inner, F.lit(f"</{tag.split()[0]}>")).alias("t"))
+    return rows.select(F.concat(F.lit("/tmp/in/"), F.col("paper_id").cast("string"), F.lit(".xhtml")).alias("path"), F.col("t").alias("text"))
+
+
+@query(rf"""WITH one AS (SELECT paper_id, page_number, block_idx, line_idx, word_idx, min({white('text')}) AS text FROM words WHERE {white('text')} <> '' GROUP BY ALL)
+SELECT CAST(paper_id AS VARCHAR) AS paper_id, CAST(dense_rank() OVER (PARTITION BY paper_id ORDER BY page_number) AS INTEGER) AS page_number, CAST(count(*) AS INTEGER) AS n_words, CAST(max(length(text)) AS INTEGER) AS longest FROM one GROUP BY paper_id, page_number""")
+def xhtml_words(spark, d):
+    w = formats.paper_words(_xhtml(spark, d))
+    return w.groupBy("paper_id", "page_number").agg(F.count("*").cast("int").alias("n_words"), F.max(F.length("text")).alias("longest"))
+
+
+@query(f"WITH {TITLES} SELECT CAST(paper_id AS VARCHAR) AS paper_id, CAST(page_number AS INTEGER) AS page_number, title FROM ti")
+def font_xml_titles(spark, d):
+    """Titles from font XML made of the headed lines: definitions first on each page, then the texts."""
+    texts, specs = _fonts(spark, d)
+    esc = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = texts.select("paper_id", "page_number", "ord", F.concat(F.lit('<text font="'), F.col("font_id").cast("string"), F.lit('">'), esc, F.lit("</text>")).alias("t"))
+    page = lines.groupBy("paper_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda s: s["t"]), "\n").alias("t"))
+    page = page.select("paper_id", "page_number", F.concat(F.lit('<page number="'), F.col("page_number").cast("string"), F.lit('">'), "t", F.lit("</page>")).alias("t"))
+    defined = specs.select("paper_id", F.concat(F.lit('<fontspec id="'), F.col("font_id").cast("string"), F.lit('" size="'), F.col("size").cast("string"), F.lit('" family="'), "family", F.lit('"/>')).alias("t")).groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("specs"))
+    doc = page.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "t"))), lambda s: s["t"]), "\n").alias("t")).join(defined, "paper_id")
+    scan_texts, scan_fonts = formats.font_texts(doc.select(F.concat(F.lit("/tmp/in/"), F.col("paper_id").cast("string"), F.lit(".xml")).alias("path"), F.concat("specs", "t").alias("text")))
+    return fonts.section_titles(scan_texts, fonts.font_specs(scan_fonts)).select("paper_id", "page_number", "title")
 
 
 _DIM = r"regexp_extract(page_size, '([\d|.]+) x ([\d|.]+)', {})"
