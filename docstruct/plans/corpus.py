@@ -20,7 +20,7 @@ from docstruct.sources.providers import Model
 class Corpus:
     """A corpus of laid-out papers; every step returns a new one.
 
-    Lines, filtered and ordered blocks are written to the shared checkpoint folder
+    Titles of sources, lines, filtered and ordered blocks are written to the shared checkpoint folder
     as they are made, since two or more later steps read each of them: these writes
     run when the step is called, all else when a result is asked for. A filter on
     papers belongs on ``words``, before the first of them.
@@ -58,7 +58,7 @@ class Corpus:
         width from the info; lines in table ``boxes`` fall out before all else.
         """
         texts, defined = formats.font_texts(font_xml)
-        titles = fonts.section_titles(texts, fonts.font_specs(defined))
+        titles = cut(fonts.section_titles(texts, fonts.font_specs(defined)))
         rows = layout.lines(formats.paper_words(xhtml))
         if boxes is not None:
             rows = layout.without_tables(rows, boxes, titles)
@@ -76,8 +76,8 @@ class Corpus:
 
     def validate_titles(self, figures: DataFrame, model: Model) -> "Corpus":
         """Titles merged with those a model reads; columns and filters keep to the font titles, so call it last."""
-        placed = self.placed()
-        return replace(self, titles=model_steps.validated_titles(self.titles, figures, model), blocks=placed)
+        # written down, so that the model is asked once
+        return replace(self, titles=cut(model_steps.validated_titles(self.titles, figures, model)), blocks=cut(self.placed()))
 
     def placed(self) -> DataFrame:
         """Blocks with their place in reading order."""
@@ -98,7 +98,7 @@ class Corpus:
         if model is None:
             return math_markup.heuristic_markup(block_rows).select("paper_id", "ord", unicode_math_to_latex(F.col("math_text")).alias("math_text"))
         found = model_steps.model_markup(block_rows.select("paper_id", "page_number", F.col("place").alias("block_idx"), "text"), figures, model)
-        return found.select("paper_id", (F.col("page_number").cast("long") * sections.STRETCH + F.col("block_idx")).alias("ord"), "math_text")
+        return cut(found).select("paper_id", (F.col("page_number").cast("long") * sections.STRETCH + F.col("block_idx")).alias("ord"), "math_text")
 
     def sections(self, math: bool = False, figures: DataFrame | None = None, model: Model | None = None) -> DataFrame:
         b = cut(self.ordered_blocks())
@@ -111,7 +111,7 @@ class Corpus:
         return references.references_text(self.ordered_blocks())
 
     def extract_references(self, model: Model) -> DataFrame:
-        return model_steps.extract_references(self.ordered_blocks(), model)
+        return cut(model_steps.extract_references(self.ordered_blocks(), model))
 
     def papers(self, math: bool = False) -> DataFrame:
         return export.sections_json(self.sections(math))

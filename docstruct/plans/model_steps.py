@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docstruct.functions import text as X
 from docstruct.operators import layout, math_markup, references
 from docstruct.operators.layout import PAGE
+from docstruct.scale import cut
 from docstruct.sources.providers import Model, ask
 
 #: Page images shown for the titles, and the questions.
@@ -29,7 +30,7 @@ def validated_titles(titles: DataFrame, figures: DataFrame, model: Model) -> Dat
     """
     first = figures.join(titles.select("paper_id").distinct(), "paper_id", "left_semi").filter(F.col("page_number").between(1, TITLE_PAGES))
     shown = first.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "image"))), lambda s: s["image"]).alias("images"))
-    answers = ask(shown, ["paper_id"], "images", ASK_TITLES, model)
+    answers = cut(ask(shown, ["paper_id"], "images", ASK_TITLES, model))  # read twice, asked once
     listed = answers.select("paper_id", F.posexplode(references.parse_title_list(F.col("answer"))).alias("pos", "title"))
     n_pages = figures.groupBy("paper_id").agg(F.count_distinct("page_number").alias("n_figures")).join(listed.select("paper_id").distinct(), "paper_id", "left_semi")
     known = titles.join(n_pages, "paper_id", "left")
@@ -44,7 +45,7 @@ def model_markup(block_rows: DataFrame, figures: DataFrame, model: Model) -> Dat
     paper_id, page_number, block_idx (in reading order), text.
     """
     dense = math_markup.dense_pages(layout.page_text(block_rows)).select(*PAGE)
-    answers = ask(figures.join(dense, PAGE, "left_semi"), PAGE, "image", ASK_PAGE, model).filter("answer <> ''")
+    answers = cut(ask(figures.join(dense, PAGE, "left_semi"), PAGE, "image", ASK_PAGE, model)).filter("answer <> ''")
     texts = answers.select(*PAGE, X.latex_to_math_tags(F.col("answer")).alias("text"))
     return math_markup.align_paragraphs(texts, block_rows).withColumn("math_text", X.unicode_math_to_latex(F.col("math_text")))
 
