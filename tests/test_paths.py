@@ -61,7 +61,7 @@ def _model():
     def answer(prompt, content):
         if prompt == titles_prompt:
             assert len(content) == 2  # the images of pages 1 and 3
-            return '["Abstract", "Introduction", "Method goes on in a line of text that is long enough to be kept whole"]'
+            return '["Abstract", "Introduction", "References", "Method goes on in a line of text that is long enough to be kept whole"]'
         if prompt == references_prompt:
             return 'Here: [{"title": "A work", "year": 2020, "authors": ["A. Author"]}]'
         return "The $\\alpha$ text"
