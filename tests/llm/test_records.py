@@ -161,6 +161,19 @@ def test_short_forms_are_learned(spark):
     assert st.full("radko") == st.full("konrad") and st.full("sven") == "sven"
 
 
+def test_every_surname_and_pair_counts_for_short_forms(spark, monkeypatch):
+    # each surname has more than 30 given names; Konrad and Radko share some of them
+    rnd = random.Random(6)
+    word = lambda k: "".join("bdfgklmnprst"[k // 12**i % 12] + "aeiou"[k // 5**i % 5] for i in range(3))
+    given = [word(k) + "n" for k in range(7, 207)]
+    pairs = {(f"{word(1000 + 7 * s)}x", g) for s in range(80) for g in [*rnd.sample(given, 33), *(("konrad", "radko") if s % 7 == 0 else ())]}
+    forms = spark.createDataFrame([(" ".join(sorted(p)) + "|",) for p in pairs], "form string")
+    st = spark.sparkContext.broadcast(N.Statistics({"n:": len(pairs)} | {f"w:{g}": 1000 for _, g in pairs}, 1, {}))
+    assert list(N._short_forms(forms, st)) == [("konrad", "radko")]
+    monkeypatch.setattr(N, "LISTED", 1)
+    assert list(N._short_forms(forms, st)) == [("konrad", "radko")]
+
+
 # problem 2 ------------------------------------------------------------------------------------------------------
 LEX = O.Lexicon({w: 100 for w in "our domain-agnostic regression confirms the lattice of stable kernels in every classifier without labels detector kernel-map journal".split()})
 
