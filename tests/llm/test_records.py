@@ -153,6 +153,28 @@ def test_large_bucket_in_blocks(monkeypatch):
     assert sorted(got) == [(i, j) for i in range(50) for j in range(i + 1, 50) if len(sets[i] & sets[j]) * np.float32(np.float16(0.3)) ** 2 >= 0.43]
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_pairs_of_many_buckets_equal_brute_force(monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_FORMS", block)
+    rnd = random.Random(8)
+    rows = [(b, {h: 0.6 * rnd.random() for h in rnd.sample(range(30), rnd.randint(1, 10))}) for b in range(40) for _ in range(rnd.choice([1, 2, 5, 20, 40]))]
+    packed = [np.array(list(v.items()), N._PAIR).tobytes() for _, v in rows]
+    vectors = [{int(h): float(w) for h, w in np.frombuffer(x, N._PAIR)} for x in packed]
+    want = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][0] == rows[j][0] and N.cosine(vectors[i], vectors[j]) >= 0.3]
+    got = sorted((i, j) for p, q in N._near_in_buckets(np.array([b for b, _ in rows]), packed, 0.3) for i, j in zip(p.tolist(), q.tolist()))
+    assert len(want) > 100 and got == want
+
+
+def test_bucket_rows_do_not_grow_with_the_corpus():
+    # 2,000 or 200,000 forms expected for each n-gram and letter: no more rows than features, where pairs of features were hundreds
+    for k in (1, 100):
+        st = N.Statistics({"n:": 20_000 * k, "l:e": 20_000 * k, "l:l": 20_000 * k, "w:emre": 1000 * k}, 2000 * k, {})
+        f = N.form("Emre Libugazeez")
+        keys = [b for b, _ in N._bucket_rows(f, st, N.LEAST_COSINE, N.HOT_FORMS)]
+        parts = -(-2000 * k // N.HOT_FORMS)
+        assert len(keys) == len(set(keys)) <= parts * len(N.vector(f, st))
+
+
 def test_short_forms_are_learned(spark):
     given = ["Konrad", "Radko", "Sven", "Uma", "Boris", "Hana", "Emre", "Zoltan"]
     names = [f"{g} Tar{k:02}mo".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(40) for g in (("Konrad", "Radko") if k % 4 == 0 else (given[k % 8],))]
