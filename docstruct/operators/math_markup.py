@@ -159,22 +159,130 @@ def dense_pages(page_rows: DataFrame, least: float = DENSE) -> DataFrame:
     return page_rows.filter(X.math_density(F.col("text")) >= least)
 
 
+def _codes(s: str) -> np.ndarray:
+    """The trigrams of a text in order, a number for each; a shorter text is its own only one, an empty one has none."""
+    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1  # no character is 0, so lengths never mix
+    if len(c) >= 3:
+        return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    return np.array([(c[0] << 21) | c[1] if len(c) == 2 else c[0]]) if len(c) else c
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; for some hundred numbers this takes half the time of ``np.unique``."""
+    s = np.sort(codes)
+    return s[np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]])]
+
+
+def _among(codes: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which of ``codes`` are in ``grams``, sorted and without repeats, one at least."""
+    return grams[np.minimum(np.searchsorted(grams, codes), len(grams) - 1)] == codes
+
+
+def _alike(common, other, n_grams: int):
+    """Whether ``common`` trigrams of ``n_grams`` and ``other`` ones beside them make a score of LEAST_ALIKE, in whole numbers."""
+    return 5 * common >= 2 * (n_grams + other)
+
+
+def has_alignment(needle: str, hay: str) -> bool:
+    """Whether ``best_alignment`` finds a window.
+
+    A window holds at most what a larger one around it shares with the needle and
+    at least what a smaller one in it doesn't, so a range of sizes without a start
+    where these two would do is left out as a whole; other ranges are halved.
+    """
+    n, m = len(needle), len(hay)
+    if not n or not m:
+        return False
+    if n < 3:
+        return needle in hay
+    low, high = max(3, int(np.floor(n * 0.7))), min(m, int(np.ceil(n * 1.3)))
+    if low > high:
+        return False
+    grams, codes = _distinct(_codes(needle)), _codes(hay)
+    shared, k = _among(codes, grams), len(grams)
+    order = np.argsort(codes, kind="stable")
+    same = codes[order[1:]] == codes[order[:-1]]
+    prev, p = np.full(len(codes), -1), np.arange(len(codes))
+    prev[order[1:][same]] = order[:-1][same]
+    if not _alike(int((shared & (prev < 0)).sum()), 0, k):
+        return False  # not even all shared trigrams together would do
+
+    def windows(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct trigrams that the windows of one size share with the needle, and their others."""
+        span, starts = size - 2, m - size + 1
+        first, last = np.maximum(prev + 1, p - span + 1), np.minimum(p, starts - 1)
+        ok = first <= last
+        count = lambda which: np.cumsum(np.bincount(first[which], minlength=starts + 1) - np.bincount(last[which] + 1, minlength=starts + 1))[:starts]
+        return count(ok & shared), count(ok & ~shared)
+
+    ends = [(size, *windows(size)) for size in (low, high)]
+    if any(_alike(c, x, k).any() for _, c, x in ends):
+        return True
+    ranges = [tuple(ends)]
+    while ranges:
+        least, most = ranges.pop()
+        around = most[1][np.minimum(np.arange(len(least[1])), len(most[1]) - 1)]
+        if most[0] - least[0] < 2 or not _alike(around, least[2], k).any():
+            continue
+        size = (least[0] + most[0]) // 2
+        c, x = windows(size)
+        if _alike(c, x, k).any():
+            return True
+        ranges += [(least, (size, c, x)), ((size, c, x), most)]
+    return False
+
+
+def nearest_paragraphs(blocks: list[str], paragraphs: list[str]) -> list[int | None]:
+    """For each normalised block the place of the paragraph most like it, the first of equal ones; none if nothing is near.
+
+    A pair's score is that of its trigrams; if that is less than LEAST_ALIKE but a
+    window of the paragraph aligns with the block, it is LEAST_ALIKE. So windows
+    only matter to a block without a paragraph of a greater score.
+    """
+    sets = [_distinct(_codes(t)) for t in paragraphs]
+    sizes = np.array([len(g) for g in sets], int)
+    codes, owner = np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    found: list[int | None] = []
+    for text in blocks:
+        if not text or not len(codes):
+            found.append(None)
+            continue
+        grams = _distinct(_codes(text))
+        common = np.bincount(owner[_among(codes, grams)], minlength=len(sets))
+        score = common / (len(grams) + sizes - common)
+        k = int(np.argmax(score))
+        if score[k] > LEAST_ALIKE:
+            found.append(k)
+            continue
+        maybe = np.flatnonzero(_alike(common, 0, len(grams)) | (len(text) < 3))
+        found.append(next((int(i) for i in maybe if score[i] >= LEAST_ALIKE or has_alignment(text, paragraphs[i])), None))
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _nearest_udf(blocks: pd.Series, paragraphs: pd.Series) -> pd.Series:
+    return pd.Series([nearest_paragraphs(list(b), list(p)) for b, p in zip(blocks, paragraphs)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _mark_all_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([[mark_math(t) for t in each] for each in texts], dtype=object)
+
+
 def align_paragraphs(texts: DataFrame, block_rows: DataFrame) -> DataFrame:
     """For each block the paragraph of its page's text most like it, else its own markup if that changes it.
 
     ``texts``: paper_id, page_number, text (paragraphs parted by blank lines);
     ``block_rows``: paper_id, page_number, block_idx, text. Paragraphs and blocks
-    meet only within a page. Result: the block's keys and math_text.
+    meet only within a page, a row for each. Result: the block's keys and math_text.
     """
-    paras = texts.select("paper_id", "page_number", F.posexplode(F.split("text", "\n\n")).alias("pos", "p")).withColumn("p", X.trim_white(F.col("p"))).filter("p <> ''").withColumn("pn", X.normalize_for_matching(F.col("p")))
-    # the trigrams of a text are built once, before it meets the others of its page
-    paras = paras.withColumn("pg", X.trigrams(F.col("pn")))
-    b = block_rows.withColumn("bn", X.normalize_for_matching(F.col("text"))).withColumn("bg", X.trigrams(F.col("bn")))
-    j = b.join(paras, ["paper_id", "page_number"]).withColumn("score", X.jaccard(F.col("pg"), F.col("bg"))).drop("pg", "bg")
-    # the window search only matters where the plain score is too low: its score is taken as the bound
-    near = j.filter(F.col("score") >= LEAST_ALIKE)
-    far = j.filter(F.col("score") < LEAST_ALIKE).withColumn("span", aligned(F.col("bn"), F.col("pn"))).filter(F.col("span.start").isNotNull()).withColumn("score", F.lit(LEAST_ALIKE)).drop("span")
-    w = Window.partitionBy("paper_id", "page_number", "block_idx").orderBy(F.desc("score"), "pos")
-    top = near.unionByName(far).withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("paper_id", "page_number", "block_idx", F.col("p").alias("math_text"))
-    rest = block_rows.join(top, ["paper_id", "page_number", "block_idx"], "left_anti").join(texts.select("paper_id", "page_number").distinct(), ["paper_id", "page_number"], "left_semi")
-    return top.unionByName(heuristic_markup(rest).select("paper_id", "page_number", "block_idx", "math_text"))
+    page = ["paper_id", "page_number"]
+    parts = F.transform(F.split("text", "\n\n"), lambda p, i: F.struct(i.alias("pos"), X.trim_white(p).alias("p")))
+    paras = texts.groupBy(*page).agg(F.array_sort(F.flatten(F.collect_list(F.filter(parts, lambda s: s["p"] != "")))).alias("paras"))
+    b = block_rows.groupBy(*page).agg(F.collect_list(F.struct("block_idx", "text", X.normalize_for_matching(F.col("text")).alias("n"))).alias("blocks"))
+    met = b.join(paras, page).withColumn("near", _nearest_udf(F.col("blocks.n"), F.transform("paras", lambda s: X.normalize_for_matching(s["p"]))))
+    # markup of a page's other blocks at once, those with mathematics only; what is made of a page's row isn't made again for the filter
+    left = F.transform(F.arrays_zip("blocks", "near"), lambda z: F.when(z["near"].isNull() & X.contains_math(z["blocks"]["text"]), z["blocks"]["text"]))
+    rows = F.transform(F.arrays_zip("blocks", "near", "own"), lambda z: F.struct(z["blocks"]["block_idx"].alias("block_idx"), z["blocks"]["text"].alias("text"), F.get("paras", z["near"])["p"].alias("p"), z["own"].alias("own")))
+    each = met.withColumn("own", _mark_all_udf(left)).select(*page, F.inline(rows))
+    return each.filter(F.col("p").isNotNull() | (F.col("own") != F.col("text"))).select(*page, "block_idx", F.coalesce("p", "own").alias("math_text"))

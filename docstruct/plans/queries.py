@@ -11,7 +11,7 @@ from docstruct.functions import geometry as G
 from docstruct.functions import text as X
 from docstruct.operators import fonts, layout, math_markup, references, sections
 from docstruct.plans.corpus import Corpus
-from docstruct.scale import distinct_rows, table
+from docstruct.scale import cut, distinct_rows, table
 from docstruct.sinks import export
 from docstruct.sources import formats
 from docstruct.streaming.paragraphs import paragraph_rows
@@ -245,7 +245,8 @@ def math_markup_text(spark, d):
 
 @query()
 def align_blocks(spark, d):
-    b = layout.blocks(_lines(spark, d))
+    # written once, since the texts and the blocks they meet are both made of them
+    b = cut(layout.blocks(_lines(spark, d)).select(*layout.BLOCK, "text")).repartition(*layout.PAGE)
     texts = layout.page_text(b.withColumn("text", F.regexp_replace("text", "e", "é")))
     return math_markup.align_paragraphs(texts, b)
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -55,3 +56,45 @@ def test_best_alignment():
         n = "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 12)))
         h = "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 30)))
         assert M.best_alignment(n, h) == _slow(n, h)
+
+
+def test_has_alignment():
+    rnd = random.Random(6)
+    for _ in range(400):
+        letters = "abcde "[: rnd.randint(2, 6)]
+        n = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14)))
+        h = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))
+        assert M.has_alignment(n, h) == (_slow(n, h) is not None)
+
+
+def _slow_nearest(block, paragraphs):
+    grams = lambda s: {s[k : k + 3] for k in range(len(s) - 2)} or ({s} if s else set())
+    best, where = 0.0, None
+    for k, p in enumerate(paragraphs):
+        a, b = grams(block), grams(p)
+        score = len(a & b) / len(a | b) if a | b else 0.0
+        if score < 0.4 and _slow(block, p):
+            score = 0.4
+        if score >= 0.4 and score > best:
+            best, where = score, k
+    return where
+
+
+def test_nearest_paragraphs():
+    rnd = random.Random(7)
+    some = lambda most: "".join(rnd.choice("abcé ") for _ in range(rnd.randint(0, most)))
+    for _ in range(120):
+        blocks, paragraphs = [some(14) for _ in range(4)], [some(30) for _ in range(rnd.randint(0, 5))]
+        assert M.nearest_paragraphs(blocks, paragraphs) == [_slow_nearest(b, paragraphs) for b in blocks]
+
+
+def test_long_page_ends(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(500)]
+    texts = [" ".join(rnd.choice(words) for _ in range(300)) for _ in range(40)]
+    blocks = spark.createDataFrame([(1, 1, k, t) for k, t in enumerate(texts)], "paper_id long, page_number int, block_idx int, text string")
+    page = spark.createDataFrame([(1, 1, "\n\n".join(t.replace("e", "é") for t in texts))], "paper_id long, page_number int, text string")
+    began = time.time()
+    got = {r.block_idx: r.math_text for r in M.align_paragraphs(page, blocks).collect()}
+    assert got == {k: t.replace("e", "é") for k, t in enumerate(texts)}
+    assert time.time() - began < 40  # a search for windows in every unlike pair takes minutes
